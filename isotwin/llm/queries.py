@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotwin.functions.times import run_stem
+from isotwin.llm.leakage import leaked
 from isotwin.llm.nearest_time import nearest_in_time
 from isotwin.llm.splits import peptide_chain, split_records
 from isotwin.session import col, read_table
@@ -40,7 +41,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_time(left, right, TOLERANCE_MIN).select(F.col("left_id").alias("psm_id"), F.col("right_id").alias("scan_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p5_found)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages on which each leaked item was found."""
+    return p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_pages"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p5_found, p6_found, p6_items)}
 
 SQL = {
     "p5_found": r"""

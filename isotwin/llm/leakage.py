@@ -61,9 +61,9 @@ def folded(text: str) -> bytes:
     return s.translate(_FOLD)
 
 
-def folded_page(pieces: list[tuple[int, str]]) -> bytes:
+def folded_page(pieces: list[tuple[int, str, int]]) -> bytes:
     """A page's letters in reading order, its adverts after its articles."""
-    text = "\n".join(p for _, p in pieces)
+    text = "\n".join(p for _, p, _ in pieces)
     adverts: list[str] = []
     if "***" in text:
         text = _ADVERT.sub(lambda m: adverts.append(m[1]) or "", text)

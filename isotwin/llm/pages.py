@@ -21,8 +21,8 @@ def page_columns(text: str = "text", boxes: str = "boxes") -> list[Column]:
     return [F.col(text).alias("text"), F.col(f"{boxes}.x0").alias("x0"), F.col(f"{boxes}.y0").alias("y0")]
 
 
-def reading_order(batch: pa.RecordBatch) -> list[list[tuple[int, str]]]:
-    """For each page of ``batch`` (``page_columns``) its pieces of text in reading order, with their line from 0.
+def reading_order(batch: pa.RecordBatch) -> list[list[tuple[int, str, int]]]:
+    """For each page of ``batch`` (``page_columns``) its pieces of text in reading order: line from 0, piece, place in the line.
 
     Columns begin where line starts lie more than ``COLUMN_GAP`` apart and are read one after another, each from top to bottom.
     A line that spans columns is parted at wide blanks, each part belonging to the next column. Where the boxes are null, hold
@@ -56,14 +56,17 @@ def reading_order(batch: pa.RecordBatch) -> list[list[tuple[int, str]]]:
     pieces: list[str] = []
     more: list[tuple[int, int, float, int, int]] = []
     extra: list[str] = []
+    begins: list[int] = []
     k = 0
     for i, own in enumerate(lines):
         for n, s in enumerate(own):
             if "   " in s:
-                s, *rest = _WIDE.split(s)
-                for part, r in enumerate(rest, 1):
+                blanks = [m.span() for m in _WIDE.finditer(s)]
+                for part, (stop, (_, begin)) in enumerate(zip([b for b, _ in blanks[1:]] + [len(s)], blanks), 1):
                     more.append((i, column[k] + part, ys[k], n, part))
-                    extra.append(r)
+                    extra.append(s[begin:stop])
+                    begins.append(begin)
+                s = s[: blanks[0][0]]
             pieces.append(s)
             k += 1
     pieces += extra
@@ -74,7 +77,8 @@ def reading_order(batch: pa.RecordBatch) -> list[list[tuple[int, str]]]:
     else:
         part = np.zeros(k)
     order = np.lexsort((part, number, ys, column, page))
-    out: list[list[tuple[int, str]]] = [[] for _ in lines]
+    places = [0] * k + begins
+    out: list[list[tuple[int, str, int]]] = [[] for _ in lines]
     for j, i, n in zip(order.tolist(), page[order].tolist(), number[order].tolist()):
-        out[i].append((int(n), pieces[j]))
+        out[i].append((int(n), pieces[j], places[j]))
     return out

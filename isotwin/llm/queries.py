@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isotwin.functions.times import run_stem
 from isotwin.llm.leakage import leaked
+from isotwin.llm.mixing import count_tokens, mix, mix_shares
 from isotwin.llm.nearest_time import nearest_in_time
 from isotwin.llm.pii import find_pii, redact
 from isotwin.llm.splits import peptide_chain, split_records
@@ -51,6 +52,16 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_pages"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen pages and their repeats."""
+    return mix(count_tokens(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens that each source really has."""
+    return mix_shares(spark, p7_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines on which items of personal information begin, each once per kind: a page's items are brought together by the page alone."""
     return find_pii(read_table(spark, sf_dir, "documents")).select("doc_id", "pii_kind", "line_no").distinct()
@@ -60,7 +71,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p5_found, p6_found, p6_items, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p5_found, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 SQL = {
     "p5_found": r"""

@@ -10,7 +10,7 @@ from isotwin.llm.leakage import leaked
 from isotwin.llm.mixing import count_tokens, mix, mix_shares
 from isotwin.llm.nearest_time import nearest_in_time
 from isotwin.llm.pii import find_pii, redact
-from isotwin.llm.splits import peptide_chain, split_records
+from isotwin.llm.splits import HEAD_GROUPS, TAIL_GROUPS, peptide_chain, split_records
 from isotwin.session import col, read_table
 
 #: Minutes within which a spectrum is near enough to a match.
@@ -73,7 +73,25 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p5_found, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_redacted)}
 
+def _chain(column: str) -> str:
+    """The SQL of ``peptide_chain``."""
+    s = f"regexp_replace({column}, '\\s+', '', 'g')"
+    for pattern, put in (
+        *[(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>", "")] * 2,
+        (f"(?i)^_?-?(?:{HEAD_GROUPS})-|^[_-]+", ""),
+        (f"(?i)-(?:{TAIL_GROUPS})([_./+0-9]|$)", "\\1"),
+        ("[_*#^~''`]", ""),
+        (r"(?:[./|+:;,-]?z?=?\+?\d+\+*|\++)$", ""),
+        (r"^[A-Za-z-]?\.", ""),
+        (r"\.[A-Za-z-]?$", ""),
+        ("[^A-Za-z]", ""),
+    ):
+        s = f"regexp_replace({s}, '{pattern}', '{put}', 'g')"
+    return f"nullif(translate(upper({s}), 'I', 'L'), '')"
+
+
 SQL = {
+    "p2_found": f"SELECT feature_id, {_chain('sequence')} AS peptide FROM result WHERE {_chain('sequence')} IS NOT NULL",
     "p5_found": r"""
         WITH m AS (SELECT psm_id, regexp_replace(regexp_replace(trim("Run"), '^.*[/\\]', ''), '\.(raw|mzML)$', '') AS run, "RT" AS rt, "Precursor.Mz" AS mz FROM diann_report
                    WHERE "RT" IS NOT NULL AND "Precursor.Mz" IS NOT NULL),

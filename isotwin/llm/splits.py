@@ -38,10 +38,10 @@ def peptide_chain(sequence: Column) -> Column:
     for _ in range(2):
         s = F.regexp_replace(s, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>", "")
     s = F.regexp_replace(s, f"(?i)^_?-?(?:{HEAD_GROUPS})-|^[_-]+", "")
-    s = F.regexp_replace(s, f"(?i)-(?:{TAIL_GROUPS})(?=[_./+]|\\d|$)", "")
+    s = F.regexp_replace(s, f"(?i)-(?:{TAIL_GROUPS})([_./+0-9]|$)", "$1")
     s = F.regexp_replace(s, r"[_*#^~'`]", "")
     s = F.regexp_replace(s, r"(?:[./|+:;,-]?z?=?\+?\d+\+*|\++)$", "")
-    s = F.regexp_replace(s, r"^(?:[A-Za-z]|-)?\.(.+?)\.?(?:(?<=\.)(?:[A-Za-z]|-))?$", "$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"^[A-Za-z-]?\.", ""), r"\.[A-Za-z-]?$", "")
     s = F.regexp_replace(s, r"[^A-Za-z]", "")
     return F.nullif(F.translate(F.upper(s), "I", "L"), F.lit(""))
 

@@ -86,23 +86,22 @@ def fragments(sequence: Column, mods: Column, label: str = "SILAC", site_mode: s
     """
     if site_mode == "corrected":
         mods = F.transform(mods, lambda m: F.struct(F.when(m["site"] > 0, m["site"] - 1).otherwise(m["site"]).alias("site"), m["unimod_id"].alias("unimod_id")))
-    mass = _lookup({r: x[0] for r, x in RESIDUES.items()})
     heavy = {"SILAC": {"K": SILAC_K, "R": SILAC_R}, "CHEAVY": {r: x[1] * HEAVY_C for r, x in RESIDUES.items()}, "NHEAVY": {r: x[2] * HEAVY_N for r, x in RESIDUES.items()}}[label]
-    letters = F.split(sequence, "")
+    mass, shift = _lookup({r: x[0] for r, x in RESIDUES.items()}), _lookup(heavy)
     n = F.length(sequence)
-    total = lambda part, table: F.aggregate(part, F.lit(0.0), lambda s, r: s + table(r))
-    light_of = lambda r: F.try_element_at(mass, r)
-    shift_of = lambda r: F.coalesce(F.try_element_at(_lookup(heavy), r), F.lit(0.0))
+    # Each residue is looked up once; the ions are sums over slices of the numbers.
+    residues = F.transform(F.split(sequence, ""), lambda r: F.struct(F.try_element_at(mass, r).alias("m"), F.coalesce(F.try_element_at(shift, r), F.lit(0.0)).alias("s")))
+    total = lambda part, name: F.aggregate(part, F.lit(0.0), lambda s, r: s + r[name])
 
     def ion(kind: str, i: Column, part: Column, extra: Column) -> Column:
-        light = total(part, light_of) + extra
-        return F.struct(F.lit(kind).alias("ion_type"), i.cast("int").alias("ion_num"), light.alias("light"), (light + total(part, shift_of)).alias("heavy"))
+        light = total(part, "m") + extra
+        return F.struct(F.lit(kind).alias("ion_type"), i.cast("int").alias("ion_num"), light.alias("light"), (light + total(part, "s")).alias("heavy"))
 
-    def ions(letters: Column) -> Column:
+    def ions(residues: Column) -> Column:
         steps = F.sequence(F.lit(1), n - 1)
-        b = F.transform(steps, lambda i: ion("b", i, F.slice(letters, F.lit(1), i), mod_mass(mods, i - 1)))
-        y = F.transform(steps, lambda i: ion("y", i, F.slice(letters, n - i + 1, i), F.lit(WATER) + mod_mass(mods, n) - mod_mass(mods, n - i - 1)))
+        b = F.transform(steps, lambda i: ion("b", i, F.slice(residues, F.lit(1), i), mod_mass(mods, i - 1)))
+        y = F.transform(steps, lambda i: ion("y", i, F.slice(residues, n - i + 1, i), F.lit(WATER) + mod_mass(mods, n) - mod_mass(mods, n - i - 1)))
         return F.concat(b, y)
 
     none = F.array().cast("array<struct<ion_type:string,ion_num:int,light:double,heavy:double>>")
-    return F.when(n >= 2, let(letters, ions)).otherwise(none)
+    return F.when(n >= 2, let(residues, ions)).otherwise(none)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,32 @@ def matched_intensity(mz: Column, intensity: Column, theory: Column, tol: float)
     return F.aggregate(peaks, F.lit(0.0), lambda s, p: s + p["i"].cast("double"))
 
 
+def matched_intensities(mz: Column, intensity: Column, theories: Column, tol: float) -> Column:
+    """``matched_intensity`` for each of an array of ``theories``, as ``array<double>``; a null one gives 0.
+
+    For many masses per spectrum: a spectrum's peaks are sorted once and each mass finds its own by binary search.
+    """
+
+    def match(mzs: pd.Series, intensities: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for peaks, values, masses in zip(mzs, intensities, asked):
+            found = np.zeros(0 if masses is None else len(masses))
+            if len(found) and peaks is not None and len(peaks):
+                peaks, values, masses = (np.asarray(x, float) for x in (peaks, values, masses))
+                order = np.argsort(peaks, kind="stable")
+                peaks = peaks[order]
+                reach = np.abs(masses) * (tol * 1e-6) * (1 + 1e-9) + 1e-9
+                low, high = np.searchsorted(peaks, masses - reach), np.searchsorted(peaks, masses + reach, side="right")
+                for k in np.flatnonzero(high > low):
+                    near = slice(low[k], high[k])
+                    inside = np.abs((peaks[near] - masses[k]) / masses[k] * 1e6) <= tol
+                    found[k] = values[order[near]][inside].sum()
+            out.append(found)
+        return pd.Series(out)
+
+    return F.pandas_udf(match, "array<double>")(mz, intensity, theories)
+
+
 def ppm_join(probes: DataFrame, peaks: DataFrame, tol: float, keys: list[str] | None = None) -> DataFrame:
     """For every probe the peaks within ``tol`` ppm: ``probe_id, n, intensity, ppm_error`` (sum and mean; 0 and null if none).
 

@@ -1,6 +1,6 @@
 """The same time recorded in different units: find each row's unit and convert.
 
-Method: rows of all sources are linked through the entity they share (the peptide). An entity's consensus is the robust
+Method: rows of all sources are linked through the entity they share (the peptide). An entity's consensus is the median
 mean of its times of known unit; a source's scale is the median ratio of its times to the consensus, snapped to a
 known conversion; known units spread from source to entity to source over that graph in a few rounds. Sources meet only
 at their entities, so no pairs of rows or sources are formed. A unit stated in the row, then in the run's notes, and the
@@ -81,7 +81,7 @@ def common_units(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
     links = known.where("_v > 0 and entity is not null").select("src_table", "run", "entity", F.log("_v").alias("_log"), F.log(minutes(F.col("_v"), F.col("_sure"))).alias("_anchor"))
     # An entity's consensus starts from rows of known unit; each round adds the sources whose scale is known by then.
-    consensus = links.where("_anchor is not null").groupBy("entity").agg(F.avg("_anchor").alias("_mid"))
+    consensus = links.where("_anchor is not null").groupBy("entity").agg(F.percentile_approx("_anchor", 0.5).alias("_mid"))
     scales = None
     open_rows = links.where("_anchor is null")
     unknown = known.where("_sure is null and _v is not null").limit(1).count() > 0
@@ -90,7 +90,7 @@ def common_units(rows: DataFrame, runs: DataFrame) -> DataFrame:
             scales = open_rows.join(consensus, "entity").groupBy("src_table", "run").agg(F.percentile_approx(F.col("_log") - F.col("_mid"), 0.5).alias("_ratio"))
             scales = cut(scales.withColumn("_scale", _nearest(F.col("_ratio"))).drop("_ratio"))
             spread = open_rows.join(small_side(scales), (open_rows["src_table"] == scales["src_table"]) & open_rows["run"].eqNullSafe(scales["run"])).select("entity", (F.col("_log") + _log_minutes(F.col("_scale"))).alias("_anchor"))
-            new = links.where("_anchor is not null").select("entity", "_anchor").union(spread).groupBy("entity").agg(F.avg("_anchor").alias("_mid"))
+            new = links.where("_anchor is not null").select("entity", "_anchor").union(spread).groupBy("entity").agg(F.percentile_approx("_anchor", 0.5).alias("_mid"))
             consensus = cut(new)
         left = known.where("_sure is null and _v is not null")
         left = left.join(small_side(scales.withColumnsRenamed({"src_table": "_s", "run": "_r"})), (F.col("src_table") == F.col("_s")) & F.col("run").eqNullSafe(F.col("_r")), "left").drop("_s", "_r")

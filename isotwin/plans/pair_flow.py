@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotwin.functions.chem import fragments, heavy_mz, ion_mz
-from isotwin.operators.matching import cycle_bounds, matched_intensity, window_of
+from isotwin.operators.matching import cycle_bounds, matched_intensities, window_of
 from isotwin.operators.ordered import nearest, neighbour_ranks, rank_within
 from isotwin.operators.traces import summary, trace_score
 from isotwin.schemas import FEATURE_COLUMNS
@@ -51,11 +51,14 @@ def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, ha
     used = around.join(slim.select("raw_title", "win", "rank", "spec_idx", F.col("rt").alias("spec_rt"), "iso_lower", "iso_upper"), ["raw_title", "win", "rank"])
     used = used.where((F.col("kind") == MS1) | ((F.col("iso_lower") <= F.col("own_mz").cast("float")) & (F.col("own_mz").cast("float") <= F.col("iso_upper"))))
 
-    targets = F.when(F.col("kind") == MS1, F.array(F.array("precursor_mz"), F.array("heavy_mz"))).otherwise(F.transform("ions", lambda f: F.transform(F.array(F.lit(1), F.lit(2)), lambda z: ion_mz(F.when(F.col("kind") == LIGHT, f["light"]).otherwise(f["heavy"]), z))))
-    asked = used.select("psm_id", "raw_title", "kind", "spec_idx", "spec_rt").join(psm.select("psm_id", "precursor_mz", "heavy_mz", "ions"), "psm_id").select("psm_id", "raw_title", "kind", "spec_idx", "spec_rt", targets.alias("targets"))
+    # Per fragment the masses at charge 1 and 2, one after the other.
+    charged = lambda name: F.flatten(F.transform("ions", lambda f: F.transform(F.array(F.lit(1), F.lit(2)), lambda z: ion_mz(f[name], z))))
+    psm = psm.withColumn("masses", F.array(F.array("precursor_mz", "heavy_mz"), charged("light"), charged("heavy")))
+    targets = F.get("masses", F.col("kind"))
+    asked = used.select("psm_id", "raw_title", "kind", "spec_idx", "spec_rt").join(psm.select("psm_id", "masses"), "psm_id").select("psm_id", "raw_title", "kind", "spec_idx", "spec_rt", targets.alias("targets"))
     peaks = spectra.select("raw_title", "spec_idx", "mz", "intensity").dropDuplicates(["raw_title", "spec_idx"])
     seen = asked.join(peaks, ["raw_title", "spec_idx"])
-    found = F.transform("targets", lambda t: F.aggregate(t, F.lit(0.0), lambda s, m: s + F.coalesce(matched_intensity(F.col("mz"), F.col("intensity"), m, tol_ppm), F.lit(0.0))))
+    found = matched_intensities(F.col("mz"), F.col("intensity"), F.col("targets"), tol_ppm)
     total = F.aggregate("intensity", F.lit(0.0), lambda s, x: s + x.cast("double"))
     points = seen.select("psm_id", "kind", "spec_idx", F.col("spec_rt").cast("double").alias("rt"), found.alias("found"), total.alias("total"))
     # At most 2 * half_width + 1 points per PSM and kind.
@@ -63,9 +66,10 @@ def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, ha
     wide = cut(psm.select("psm_id", "ions").join(traces, "psm_id", "left"))
 
     pick = lambda name, i: F.transform(name, lambda p: F.get(p["found"], i))
+    pair = lambda name, i: F.transform(name, lambda p: F.get(p["found"], 2 * i) + F.get(p["found"], 2 * i + 1))
     times = lambda name: F.transform(name, lambda p: p["rt"])
     precursor = wide.select("psm_id", times("ms1").alias("t"), pick("ms1", F.lit(0)).alias("light"), pick("ms1", F.lit(1)).alias("heavy")).select("psm_id", trace_score(F.col("t"), F.col("light"), F.col("t"), F.col("heavy")).alias("precursor_pearson"))
-    each = wide.select("psm_id", F.posexplode("ions").alias("i", "ion"), "l", "h").select("psm_id", "ion.ion_type", times("l").alias("lt"), pick("l", F.col("i")).alias("li"), times("h").alias("ht"), pick("h", F.col("i")).alias("hi"), *[F.aggregate(n, F.lit(0.0), lambda s, p: s + p["total"]).alias(f"{n}_all") for n in ("l", "h")])
+    each = wide.select("psm_id", F.posexplode("ions").alias("i", "ion"), "l", "h").select("psm_id", "ion.ion_type", times("l").alias("lt"), pair("l", F.col("i")).alias("li"), times("h").alias("ht"), pair("h", F.col("i")).alias("hi"), *[F.aggregate(n, F.lit(0.0), lambda s, p: s + p["total"]).alias(f"{n}_all") for n in ("l", "h")])
     scored = each.withColumn("score", trace_score(F.col("lt"), F.col("li"), F.col("ht"), F.col("hi"))).withColumn("both", (F.array_max("li") > 0) & (F.array_max("hi") > 0))
     add = lambda name: F.aggregate(name, F.lit(0.0), lambda s, x: s + x)
     stats = [s for prefix, c in (("b", F.when(F.col("ion_type") == "b", F.col("score"))), ("y", F.when(F.col("ion_type") == "y", F.col("score"))), ("all", F.col("score"))) for s in summary(c, prefix)]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotwin.functions.times import run_stem, time_text, unit_of
+from isotwin.functions.times import SPELLINGS, run_stem, time_text, unit_of
 from isotwin.operators.multivalue import split_fields
 from isotwin.operators.schema_drift import schema_changes, unify
-from isotwin.operators.units import common_units, note_unit
+from isotwin.operators.units import PROGRAMS, common_units, note_unit
 from isotwin.session import col, read_table, small_side
 
 #: The successive deliveries of one report.
@@ -67,3 +67,81 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_value_counts, p4_found, p4_times)}
+
+
+# --- SQL ----------------------------------------------------------------------------------------------
+
+_QUOTED = "\"(?:[^\"]|\"\")*\"|''(?:[^'']|'''')*''"
+
+
+def _split_sql() -> str:
+    fields = " UNION ALL ".join(rf"""SELECT psm_id, '{f}' AS field_name, regexp_replace("{f}", '^\s+|\s+$', '', 'g') AS raw FROM alphadia_report""" for f in PACKED)
+
+    def parts(sep: str, one: str, rest: str) -> str:
+        return rf"regexp_extract_all({sep} || body, '{one}\s*({_QUOTED}|{rest})', 1)"
+
+    def inside(q: str) -> str:
+        return rf"regexp_replace(replace(substr(v, 2, length(v) - 2), '{q * 2}', '{q}'), '^\s+|\s+$', '', 'g')"
+
+    return rf"""WITH f AS ({fields}),
+        b AS (SELECT psm_id, field_name, regexp_replace(CASE WHEN length(raw) > 1 AND (raw[1] = '[' AND raw[-1] = ']' OR raw[1] = '{{' AND raw[-1] = '}}') THEN substr(raw, 2, length(raw) - 2) ELSE raw END, '^\s+|\s+$', '', 'g') AS body FROM f WHERE raw <> ''),
+        m AS (SELECT *, regexp_replace(body, '(^|[;|,/\s])(?:{_QUOTED})', '\1q', 'g') AS masked FROM b),
+        s AS (SELECT psm_id, field_name, CASE WHEN regexp_matches(masked, '[;|,/]') THEN {parts("';'", "[;|,/]", "[^;|,/]*")} WHEN contains(masked, chr(9)) THEN {parts("chr(9)", chr(92) + "t", "[^" + chr(92) + "t]*")}
+              WHEN contains(masked, ' ') THEN {parts("' '", " +", "[^ ]*")} ELSE [body] END AS parts FROM m),
+        v AS (SELECT psm_id, field_name, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS p FROM s),
+        t AS (SELECT psm_id, field_name, pos, regexp_replace(p, '^\s+|\s+$', '', 'g') AS v FROM v),
+        u AS (SELECT psm_id, field_name, CAST(pos AS BIGINT) AS pos, CASE WHEN regexp_full_match(v, '"(?:[^"]|"")*"') THEN {inside('"')} WHEN regexp_full_match(v, '''(?:[^'']|'''')*''') THEN {inside("''")} ELSE v END AS val FROM t)
+        SELECT * FROM u WHERE val <> ''"""
+
+
+def _unit_sql(text: str) -> str:
+    t = rf"regexp_replace(lower(trim({text})), '^[\[(\s]+|[\])\s.]+$', '', 'g')"
+    return "CASE " + " ".join(f"WHEN regexp_full_match({t}, '{words}') THEN '{unit}'" for unit, words in SPELLINGS.items()) + " END"
+
+
+def _noted_sql(program: str) -> str:
+    words = "|".join(f"(?:{w})" for w in SPELLINGS.values())
+    clause = rf"list_filter(string_split_regex(note, '[;/,!\n|]|\.\s|\.$|\s{{2,}}|\s-\s'), lambda c: regexp_matches(c, '(?i){PROGRAMS[program]}'))[1]"
+    return _unit_sql(rf"regexp_extract(regexp_replace({clause}, '(?i){PROGRAMS[program]}', ' '), '(?i)(?:^|[^\w.-])({words})(?:[^\w-]|$)', 1)")
+
+
+_ONE = r"([+-]?\d[\d '' ]*(?:[.,]\d+)?(?:e[+-]?\d+)?)\s*([a-z]*)\.?"
+_CLOCK, _ISO, _WORDS = r"^(\d+):(\d+):([\d.]+)$", r"^pt(?:([\d.]+)h)?(?:([\d.]+)m)?(?:([\d.]+)s)?$", r"^(?:([\d.]+) h )?(?:([\d.]+) min )?([\d.]+) s$"
+
+
+def _seconds(pattern: str) -> str:
+    return " + ".join(f"CAST(coalesce(nullif(regexp_extract(t, '{pattern}', {i}), ''), '0') AS DOUBLE) * {k}" for i, k in ((1, 3600), (2, 60), (3, 1)))
+
+
+def _stem(column: str) -> str:
+    return rf"regexp_replace(regexp_replace(trim({column}), '^.*[/\\]', ''), '\.(raw|mzML)$', '')"
+
+
+def _minutes(unit: str) -> str:
+    return f"CASE {unit} WHEN 'ms' THEN value / 60000 WHEN 's' THEN value / 60 WHEN 'min' THEN value WHEN 'h' THEN value * 60 END"
+
+
+_W3 = rf"""w3 AS (SELECT *, regexp_replace(lower(trim(RT)), '^[a-z_. ]*[=:]\s*', '') AS t FROM report_w3),
+    w3t AS (SELECT *, CASE WHEN regexp_full_match(t, '{_ONE}') THEN CAST(replace(replace(regexp_extract(t, '{_ONE}', 1), ' ', ''), ',', '.') AS DOUBLE) WHEN regexp_matches(t, '{_CLOCK}') THEN {_seconds(_CLOCK)}
+      WHEN regexp_matches(t, '{_ISO}') THEN {_seconds(_ISO)} WHEN regexp_matches(t, '{_WORDS}') THEN {_seconds(_WORDS)} END AS value,
+      CASE WHEN regexp_full_match(t, '{_ONE}') THEN {_unit_sql(f"regexp_extract(t, '{_ONE}', 2)")} ELSE 's' END AS stated FROM w3)"""
+_TIMES_SQL = rf"""WITH {_W3}, a AS (
+      SELECT 'diann_report' AS src_table, psm_id, {_stem('"Run"')} AS run, CAST("RT" AS DOUBLE) AS value, {_unit_sql('"RT.Unit"')} AS stated, 'min' AS own, true AS plain FROM diann_report
+      UNION ALL SELECT 'alphadia_report', psm_id, {_stem('"raw.name"')}, "precursor.rt.observed", {_unit_sql('"rt.unit"')}, 's', true FROM alphadia_report
+      UNION ALL SELECT 'report_w3', psm_id, {_stem('run')}, value, stated, 'min', regexp_full_match(RT, '\s*\d+(\.\d+)?\s*') FROM w3t),
+    n AS (SELECT raw_title, gradient_min AS g, {_noted_sql('diann')} AS diann, {_noted_sql('alphadia')} AS alpha FROM run_sheet),
+    j AS (SELECT a.*, g, coalesce(stated, CASE src_table WHEN 'diann_report' THEN diann WHEN 'alphadia_report' THEN alpha END) AS known,
+          list_filter(['ms', 's', 'min', 'h'], lambda u: {_minutes('u')} BETWEEN 0.025 * g AND g) AS fits FROM a LEFT JOIN n ON a.run = n.raw_title WHERE value IS NOT NULL AND NOT isnan(value)),
+    r AS (SELECT *, coalesce(known, CASE WHEN len(fits) = 1 THEN fits[1] END, own) AS unit FROM j)"""
+
+SQL = {
+    "p1_unified": f"""WITH {_W3}
+        SELECT 'report_w1' AS source_table, psm_id, "Run" AS run, "precursor.sequence" AS sequence, "precursor.charge" AS charge, round(CAST(CAST("RT" AS VARCHAR) AS DOUBLE), 4) AS rt, round("precursor.mz.observed", 2) AS mz, "pg.genes" AS genes, q_value, CAST(NULL AS DOUBLE) AS mobility, CAST(NULL AS BOOLEAN) AS decoy, CAST(NULL AS DOUBLE) AS score FROM report_w1
+        UNION ALL SELECT 'report_w2', psm_id, "Run", "precursor.sequence", "precursor.charge", round("RT", 4), round("precursor.mz.observed", 2), "pg.genes", q_value, round(mobility, 3), decoy, NULL FROM report_w2
+        UNION ALL SELECT 'report_w3', psm_id, run, "Stripped.Sequence", CAST(regexp_extract("precursor.charge", '[0-9]+') AS BIGINT), round({_minutes("coalesce(stated, 'min')")}, 4), round("precursor.mz.observed", 2), array_to_string("pg.genes", ';'), NULL, round(mobility, 3), decoy = 1, score FROM w3t
+        UNION ALL SELECT 'report_w4', psm_id, "raw.name", "precursor.sequence", charge, round(rt_minutes, 4), round(CAST(CAST("precursor.mz.observed" AS VARCHAR) AS DOUBLE), 2), array_to_string("pg.genes", ';'), q_value, round(CAST(CAST(mobility AS VARCHAR) AS DOUBLE), 3), NULL, NULL FROM report_w4""",
+    "p3_found": _split_sql(),
+    "p3_value_counts": f"SELECT field_name, pos, count(*) AS n, count(DISTINCT val) AS n_distinct FROM ({_split_sql()}) GROUP BY field_name, pos",
+    "p4_found": _TIMES_SQL + f" SELECT src_table, psm_id, CAST(round({_minutes('unit')} * 6000) AS BIGINT) AS rt_cs FROM r WHERE NOT (plain AND unit = own)",
+    "p4_times": _TIMES_SQL + f" SELECT src_table, psm_id, unit, round({_minutes('unit')}, 5) AS rt_min FROM r",
+}

@@ -21,8 +21,9 @@ from isotwin.llm.pages import page_columns, reading_order
 
 #: Letters in a seed; a folded letter takes five bits, so a seed is one 64-bit number.
 SEED = 12
-#: A seed is rare if at most this share of all pages hold it (``RARE_PAGES`` pages at least).
-RARE_SHARE, RARE_PAGES = 0.002, 20
+#: A seed is rare if at most this share of all pages hold it (``RARE_PAGES`` pages at least), or if at most ``OWN`` items do: the
+#: words of an item that leaked into very many pages stay seeds, stock phrases do not.
+RARE_SHARE, RARE_PAGES, OWN = 0.01, 20, 2
 #: Rare seeds on one diagonal from which a page and an item are aligned. Ten words hold about 50 letters, hence 39 seeds,
 #: of which a letter misread beyond folding takes at most ``SEED``.
 SEEDED = 16
@@ -273,7 +274,8 @@ def _leaked_block(slim: DataFrame, block: Items, least_words: int) -> DataFrame:
     held = {r["seed"]: r["n"] for r in counts}
     limit = max(RARE_PAGES, RARE_SHARE * held.pop(-1, 0))
     rare = np.ones(len(block.seeds), bool)
-    rare[[k for k, n in held.items() if n > limit]] = False
+    items_with = np.diff(block.first)
+    rare[[k for k, n in held.items() if n > limit and items_with[k] > OWN]] = False
     sent_rare = spark.sparkContext.broadcast(rare)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

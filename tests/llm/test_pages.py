@@ -37,6 +37,14 @@ def test_leaks(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (2, 3), (4, 3), (5, 3), (8, 3), (8, 4), (9, 3)]
 
 
+def test_an_item_on_a_third_of_all_pages(spark):
+    rnd = random.Random(9)
+    items = [(i, sentence(rnd, 40)) for i in range(5)]
+    pages = [page(i, [sentence(rnd, 30), items[2][1] if i % 3 == 0 else sentence(rnd, 40)]) for i in range(300)]
+    got = leaked(spark.createDataFrame(pages, P), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 2) for i in range(0, 300, 3)]
+
+
 def test_leaks_of_nothing(spark):
     pages, items = spark.createDataFrame([], P), spark.createDataFrame([(1, "a b", "x")], "item_id bigint, text string, boxes string")
     assert leaked(pages, items).count() == 0 and leaked(pages, items.where("false")).count() == 0

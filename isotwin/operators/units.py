@@ -1,7 +1,7 @@
 """The same time recorded in different units: find each row's unit and convert.
 
 Method: rows of all sources are linked through the entity they share (the peptide). An entity's consensus is the median
-mean of its times of known unit; a source's scale is the median ratio of its times to the consensus, snapped to a
+of its times of known unit; a source's scale is the median ratio of its times to the consensus, snapped to a
 known conversion; known units spread from source to entity to source over that graph in a few rounds. Sources meet only
 at their entities, so no pairs of rows or sources are formed. A unit stated in the row, then in the run's notes, and the
 run's own limits go before the estimate.

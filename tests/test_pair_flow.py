@@ -125,3 +125,42 @@ def test_against_numpy(spark):
 
 def test_empty(spark):
     assert pair_features(spark.createDataFrame([], PSM), spark.createDataFrame([], SPECTRUM)).count() == 0
+
+
+def test_command_line_from_files(spark, tmp_path):
+    from test_reference_operators import mzml
+
+    from isotwin import cli
+
+    psms, spectra = make(np.random.default_rng(3))
+    mzml(tmp_path / "run.mzML", [(s[4], None if s[3] == -1 else (s[3], s[5] + 25, 25, 25), s[7], s[8]) for s in spectra])
+    names = ["Run.Index", "Run", "Channel", "Precursor.Id", "Modified.Sequence", "Stripped.Sequence", "Precursor.Charge", "Decoy", "Q.Value", "RT", "Precursor.Mz", "Genes", "Protein.Group", "Protein.Names", "psm_id"]
+    rows = [(0, run, "c", "p", seq, seq, z, 0, 0.1, rt, mz, "g", "pg", prot, i) for i, run, seq, z, mz, rt, _, prot in psms]
+    kinds = ["bigint", "string", "string", "string", "string", "string", "bigint", "bigint", "double", "double", "double", "string", "string", "string", "bigint"]
+    spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))).write.parquet(str(tmp_path / "report.parquet"))
+    (tmp_path / "job.ini").write_text(f"[input]\nraw_num = 1\nraw_path_1 = {tmp_path}/run.mzML\nlight_result_file = {tmp_path}/report.parquet\nsearch_engine_type = 1\n[general]\nmass_tol_ppm = {TOL}\nxic_cycle_window = {K}\nresult_file = {tmp_path}/out\n")
+    cli.main(["--configpath", str(tmp_path / "job.ini"), "--logpath", str(tmp_path / "log")])
+    got = {r["sequence"]: r for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()}
+    want = {v[0]: v for v in oracle([(i, run, seq, z, mz, rt, [], prot) for i, run, seq, z, mz, rt, _, prot in psms], spectra).values()}
+    assert set(got) == set(want)
+    for seq, v in want.items():
+        assert float(got[seq]["precursor_pearson"]) == pytest.approx(v[7], abs=1e-4) and float(got[seq]["all_mean"]) == pytest.approx(v[23], abs=1e-4)
+        assert got[seq]["label"] == str(v[6])
+
+
+def test_reports_that_arrive(spark, tmp_path):
+    from isotwin.streaming.arrivals import stream_psms
+
+    def report(i, seq):
+        row = (i, "a.raw", "Oxidation@M", "2", 120.0, seq, 2, 500.0, "G")
+        return spark.createDataFrame([row], "psm_id bigint, `raw.name` string, `precursor.mods` string, `precursor.mod_sites` string, `precursor.rt.observed` double, `precursor.sequence` string, `precursor.charge` bigint, `precursor.mz.observed` double, `pg.genes` string")
+
+    folder = str(tmp_path / "in")
+    report(1, "AMK").write.mode("append").parquet(folder)
+    query = stream_psms(spark, folder, report(1, "AMK").schema, engine=2).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    report(2, "AXK").write.mode("append").parquet(folder)
+    report(3, "MMK").write.mode("append").parquet(folder)
+    query.processAllAvailable()
+    query.stop()
+    assert [(r["psm_id"], r["rt"], r["mods"][0]["site"]) for r in spark.table("arrived").orderBy("psm_id").collect()] == [(1, 2.0, 1), (3, 2.0, 1)]

@@ -23,7 +23,7 @@ FIRST_LEVEL, ORDER_LIMIT = "signup", 105_000
 
 #: SQL of a peptide's residues and masses.
 _RESIDUES = ", ".join(f"('{r}', CAST({m} AS DOUBLE), {c}, {n})" for r, (m, c, n) in chem.RESIDUES.items())
-_MODS = ", ".join(f"({k}, {v})" for k, v in chem.MODIFICATIONS.items())
+_MODS = ", ".join(f"({k}, CAST({v} AS DOUBLE))" for k, v in chem.MODIFICATIONS.items())
 _NAMES = ", ".join(f"('{k}', {v})" for k, v in chem.MOD_IDS.items())
 
 
@@ -122,7 +122,7 @@ def mod_prefix_mass(spark: SparkSession, d: str) -> DataFrame:
     return positional_report(read_table(spark, d, "diann_report")).where("mods is not null").select("psm_id", F.round(chem.mod_mass(F.col("mods"), F.lit(4)), 5).alias("mass"))
 
 
-@query(f"""SELECT psm_id, round(k * {chem.SILAC_K} + r * {chem.SILAC_R}, 5) AS shift, round((mz * z + k * {chem.SILAC_K} + r * {chem.SILAC_R}) / z, 5) AS heavy_mz
+@query(f"""SELECT psm_id, round(k * CAST({chem.SILAC_K} AS DOUBLE) + r * CAST({chem.SILAC_R} AS DOUBLE), 5) AS shift, round((mz * z + k * {chem.SILAC_K} + r * {chem.SILAC_R}) / z, 5) AS heavy_mz
            FROM (SELECT psm_id, CAST("Precursor.Mz" AS DOUBLE) AS mz, "Precursor.Charge" AS z, length(s) - length(replace(s, 'K', '')) AS k, length(s) - length(replace(s, 'R', '')) AS r FROM (SELECT *, "Stripped.Sequence" AS s FROM diann_report))""")
 def heavy_masses(spark: SparkSession, d: str) -> DataFrame:
     psms = positional_report(read_table(spark, d, "diann_report"))
@@ -130,7 +130,7 @@ def heavy_masses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t(r, mass, c, n) AS (VALUES {_RESIDUES}), l AS (SELECT psm_id, unnest(string_split("Stripped.Sequence", '')) AS r FROM diann_report)
-           SELECT psm_id, round(coalesce(sum(c), 0) * {chem.HEAVY_C}, 5) AS c_shift, round(coalesce(sum(n), 0) * {chem.HEAVY_N}, 5) AS n_shift FROM l LEFT JOIN t USING (r) GROUP BY psm_id""")
+           SELECT psm_id, round(coalesce(sum(c), 0) * CAST({chem.HEAVY_C} AS DOUBLE), 5) AS c_shift, round(coalesce(sum(n), 0) * CAST({chem.HEAVY_N} AS DOUBLE), 5) AS n_shift FROM l LEFT JOIN t USING (r) GROUP BY psm_id""")
 def cn_heavy_shift(spark: SparkSession, d: str) -> DataFrame:
     psms = positional_report(read_table(spark, d, "diann_report")).where("sequence is not null")
     return psms.select("psm_id", *[F.round(chem.heavy_shift(F.col("sequence"), x), 5).alias(f"{x[0].lower()}_shift") for x in ("CHEAVY", "NHEAVY")])

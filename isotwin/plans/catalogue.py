@@ -122,11 +122,11 @@ def mod_prefix_mass(spark: SparkSession, d: str) -> DataFrame:
     return positional_report(read_table(spark, d, "diann_report")).where("mods is not null").select("psm_id", F.round(chem.mod_mass(F.col("mods"), F.lit(4)), 5).alias("mass"))
 
 
-@query(f"""SELECT psm_id, round(k * CAST({chem.SILAC_K} AS DOUBLE) + r * CAST({chem.SILAC_R} AS DOUBLE), 5) AS shift, round((mz * z + k * {chem.SILAC_K} + r * {chem.SILAC_R}) / z, 5) AS heavy_mz
+@query(f"""SELECT psm_id, round(k * CAST({chem.SILAC_K} AS DOUBLE) + r * CAST({chem.SILAC_R} AS DOUBLE), 6) AS shift, round((mz * z + k * {chem.SILAC_K} + r * {chem.SILAC_R}) / z, 5) AS heavy_mz
            FROM (SELECT psm_id, CAST("Precursor.Mz" AS DOUBLE) AS mz, "Precursor.Charge" AS z, length(s) - length(replace(s, 'K', '')) AS k, length(s) - length(replace(s, 'R', '')) AS r FROM (SELECT *, "Stripped.Sequence" AS s FROM diann_report))""")
 def heavy_masses(spark: SparkSession, d: str) -> DataFrame:
     psms = positional_report(read_table(spark, d, "diann_report"))
-    return psms.select("psm_id", F.round(chem.heavy_shift(F.col("sequence")), 5).alias("shift"), F.round(chem.heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence")), 5).alias("heavy_mz"))
+    return psms.select("psm_id", F.round(chem.heavy_shift(F.col("sequence")), 6).alias("shift"), F.round(chem.heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence")), 5).alias("heavy_mz"))
 
 
 @query(f"""WITH t(r, mass, c, n) AS (VALUES {_RESIDUES}), l AS (SELECT psm_id, unnest(string_split("Stripped.Sequence", '')) AS r FROM diann_report)

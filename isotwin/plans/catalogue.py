@@ -306,11 +306,23 @@ def peak_filter(spark: SparkSession, d: str) -> DataFrame:
           SELECT o_orderkey AS probe_id, count(mz) AS n, coalesce(sum(q), 0.0) AS intensity, round(avg((mz - o_totalprice) / o_totalprice * 1e6), 5) AS ppm_error
           FROM orders LEFT JOIN l ON l.mz BETWEEN o_totalprice * 0.9999 AND o_totalprice * 1.0001 AND abs((mz - o_totalprice) / o_totalprice * 1e6) <= 10 WHERE o_totalprice < 105000 GROUP BY o_orderkey""")
 def ppm_match(spark: SparkSession, d: str) -> DataFrame:
-    probes = read_table(spark, d, "orders").where(F.col("o_totalprice") < ORDER_LIMIT).select(F.col("o_orderkey").alias("probe_id"), F.col("o_totalprice").alias("theory"))
+    return _ppm(spark, d, read_table(spark, d, "orders").where(F.col("o_totalprice") < ORDER_LIMIT))
+
+
+def _ppm(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    probes = orders.select(F.col("o_orderkey").alias("probe_id"), F.col("o_totalprice").alias("theory"))
     peaks = read_table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
     return ppm_join(probes, peaks, 10.0).withColumn("ppm_error", F.round("ppm_error", 5))
 
 
+@query("""WITH l AS (SELECT l_extendedprice AS mz, l_quantity AS q FROM lineitem)
+          SELECT o_orderkey AS probe_id, count(mz) AS n, coalesce(sum(q), 0.0) AS intensity, round(avg((mz - o_totalprice) / o_totalprice * 1e6), 5) AS ppm_error
+          FROM orders LEFT JOIN l ON l.mz BETWEEN o_totalprice * 0.9999 AND o_totalprice * 1.0001 AND abs((mz - o_totalprice) / o_totalprice * 1e6) <= 10 GROUP BY o_orderkey""")
+def ppm_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every order looked up: 0 and null where no price is near."""
+    return _ppm(spark, d, read_table(spark, d, "orders"))
+
+
 # --- traces and summaries ------------------------------------------------------------------------------
 
 

@@ -26,3 +26,19 @@ def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert len(set(out.columns)) == len(out.columns) == 26 and out.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_order_is_looked_up(spark):
+    """Against brute force; the dearest orders, which no price is near, have their row too."""
+    import numpy as np
+
+    orders, lines = (spark.read.parquet(f"{FOLDER}/{t}.parquet").toPandas() for t in ("orders", "lineitem"))
+    got = catalogue.ppm_match_all(spark, str(FOLDER)).toPandas().set_index("probe_id")
+    assert len(got) == len(orders) and got.index.is_unique and (orders.o_totalprice > catalogue.ORDER_LIMIT).any()
+    prices, counts = lines.l_extendedprice.to_numpy(float), lines.l_quantity.to_numpy(float)
+    for key, theory in zip(orders.o_orderkey, orders.o_totalprice.astype(float)):
+        error = (prices - theory) / theory * 1e6
+        near = np.abs(error) <= 10
+        row = got.loc[key]
+        assert row.n == near.sum() and abs(row.intensity - counts[near].sum()) < 1e-6
+        assert np.isnan(row.ppm_error) if not near.any() else abs(row.ppm_error - error[near].mean()) < 2e-5

@@ -3,7 +3,7 @@
 Method: a semi-Markov conditional random field. Loose patterns propose whole spans; features of a span as a whole (its
 shape, the words around it, the build of its words) give it a score per kind; bounded-entity dynamic programming over the
 proposed spans chooses boundaries and kinds jointly. The weights are fitted by gradient ascent on the conditional likelihood of a
-bounded sample of pages, labelled by the unmistakable cases in it (``_label``); how names are built is counted there too.
+bounded sample of pages, labelled by the unmistakable cases in it (``_label``); how names are built is counted on all pages.
 """
 
 from __future__ import annotations
@@ -12,17 +12,28 @@ import bisect
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from isotwin.llm.pages import page_columns, reading_order
+from isotwin.session import cut
 
 KINDS = ("address", "email", "id_number", "name", "phone")
 #: Pages that the model is fitted on, spread over the whole table.
 SAMPLE_PAGES = 1500
+#: Sightings in the whole table from which a word counts as a first name; fewer are taken for misreadings.
+LEAST = 3
+#: A word part needs as many sightings per so many pages to tell for or against a surname (a rarer one tells nothing and bars
+#: no name), and half a sighting is added to its counts: so the odds, and the limits set for them, do not drift with the table's size.
+SMOOTHED_PAGES = 1500
+#: A word one letter away from one that comes before firms or ships is taken for its misreading if seen at most this share as often.
+MISREAD_SHARE = 0.1
+#: Distinct runs of words that a task counts before it hands the counts on.
+FLUSH = 200_000
 #: Passes of the fit, its step and the weight decay.
 EPOCHS, STEP, DECAY = 6, 0.2, 1e-4
 
@@ -34,6 +45,10 @@ TITLES = {"mr", "mrs", "miss", "ms", "dr", "rev", "capt", "prof", "sir", "lady",
 FIRM_BEFORE = {"messrs", "firma", "maison", "gebr", "gebrueder", "brothers", "haus", "firm", "ste", "societe"}
 FIRM_AFTER = {"&", "bros", "brothers", "sons", "co", "cup", "merchants", "'s", "gmbh", "patent", "pokal", "ltd", "coupe"}
 SHIP_BEFORE = {"steamer", "brig", "sloop", "schooner", "schoner", "dampfer", "vapeur", "ship", "barque", "goelette", "brick", "segler", "cutter", "yacht", "ketch", "the", "le", "la", "das"}
+#: Words that are no first names, though surnames follow them.
+NEVER = SHIP_BEFORE | FIRM_BEFORE | TITLES
+#: Kinds of counts (``Evidence.rows``) that make the parts' odds.
+PARTS = ("yes", "no", "page")
 #: Kinds of street.
 STREETS_EN = "street st road rd lane ln hill square sq terrace ter avenue ave quay row gardens place court close crescent drive way walk mews green parade grove".split()
 STREETS_FR = "rue|quai|avenue|av\\.|impasse|boulevard|bd|place|allee|chemin|cours|square|passage|ruelle"
@@ -133,48 +148,136 @@ def _parts(word: str) -> list[str]:
     return [f"<{w[:3]}", f"<{w[:4]}", f"{w[-2:]}>", f"{w[-3:]}>", f"{w[-4:]}>"]
 
 
+class Evidence:
+    """Counts of the runs of capitalized words, from which ``Names`` are built."""
+
+    def __init__(self) -> None:
+        self.runs: Counter[str] = Counter()
+        self.pages = 0
+
+    def add(self, text: str) -> None:
+        self.pages += 1
+        self.runs.update(_SEQUENCE.findall(text))
+
+    def rows(self) -> Counter:
+        """Counts by ``kind, a, b``, which add up over tasks: word parts after titles (``yes``) and alone (``no``), their sums at an
+        empty ``a``, first names after titles (``titled``), successive words (``pair``) and last words (``last``); pages (``page``)."""
+        titled, alone, out = Counter(), Counter(), Counter({("page", "", ""): self.pages})
+        for run, n in self.runs.items():
+            words = run.replace(",", " ,").split()
+            k = 0
+            while k < len(words) and _is_title(words[k]):
+                k += 1
+            if k:
+                # After a title: a surname, or a first name or initials and a surname, up to a point or comma.
+                rest = []
+                for w in words[k:]:
+                    if w == ",":
+                        break
+                    if len(w) != 2 or w[1] != ".":
+                        rest.append(w)
+                        if w.endswith("."):
+                            break
+                if rest:
+                    if len(rest) > 1:
+                        out["titled", rest[0].lower(), ""] += n
+                    titled[rest[min(1, len(rest) - 1)].split("-")[-1]] += n
+            elif len(words) == 1 and len(words[0]) > 3:
+                alone[words[0]] += n
+            for a, b in zip(words, words[1:]):
+                if len(a) > 2 and a.isalpha() and not a.isupper() and not _is_title(a):
+                    out["pair", a.lower(), b.lower()] += n
+            if words[-1].isalpha() and not words[-1].isupper() and words[-2:-1] != [","]:
+                out["last", words[-1].lower(), ""] += n
+        for kind, counts in (("yes", titled), ("no", alone)):
+            for w, n in counts.items():
+                out[kind, "", ""] += n
+                for part in _parts(w):
+                    out[kind, part, ""] += n
+        return out
+
+
 class Names:
     """Log-odds that a word is a surname, by its beginning and end, and that it is a first name, by itself."""
 
     def __init__(self, texts: list[str]) -> None:
-        yes, no, first, other = Counter(), Counter(), Counter(), Counter()
-        n_yes = n_no = 0
-        runs = []
+        evidence = Evidence()
         for text in texts:
-            for m in _SEQUENCE.finditer(text):
-                words = m[0].replace(",", " ,").split()
-                runs.append(words)
-                k = 0
-                while k < len(words) and _is_title(words[k]):
-                    k += 1
-                if k:
-                    # After a title: a surname, or a first name or initials and a surname, up to a point or comma.
-                    rest = []
-                    for w in words[k:]:
-                        if w == ",":
-                            break
-                        if len(w) != 2 or w[1] != ".":
-                            rest.append(w)
-                            if w.endswith("."):
-                                break
-                    if rest:
-                        first[rest[0].lower()] += len(rest) > 1
-                        yes.update(_parts(rest[min(1, len(rest) - 1)].split("-")[-1]))
-                        n_yes += 1
-                elif len(words) == 1 and len(words[0]) > 3:
-                    no.update(_parts(words[0]))
-                    n_no += 1
-        self.part = {p: math.log((yes[p] + 0.5) / (n_yes + 1)) - math.log((no[p] + 0.5) / (n_no + 1)) for p in {*yes, *no} if yes[p] + no[p] > 2}
+            evidence.add(text)
+        rows = evidence.rows()
+        self.count_parts((k, a, n) for (k, a, _), n in rows.items() if k in PARTS)
+        first, other = Counter(), Counter()
+        for (kind, a, b), n in rows.items():
+            if kind not in PARTS:
+                first_name, other_word = self.weighed(kind, a, b, n)
+                first[a] += first_name
+                other[a] += other_word
+        self.count_firsts([(w, n, other[w]) for w, n in first.items()])
+
+    @classmethod
+    def counted(cls, pages: DataFrame) -> Names:
+        """The names of all ``pages`` (``page_columns``), as the constructor's of all their texts.
+
+        Pages are read once, counts are combined in the tasks and again by Spark. To the driver come only the parts that are
+        frequent enough to tell, which are as many at any size, and the first names with ``LEAST`` sightings whose odds let a span begin.
+        """
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Evidence()
+            for batch in _sliced(batches):
+                for pieces in reading_order(batch):
+                    own.add(Page(pieces).text)
+                if len(own.runs) > FLUSH:
+                    yield _counts(own.rows())
+                    own = Evidence()
+            yield _counts(own.rows())
+
+        rows = pages.mapInArrow(count, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        rows = cut(rows)
+        parts = rows.where(F.col("kind").isin(*PARTS)).withColumn("every", F.sum("n").over(Window.partitionBy("a")))
+        names = cls([])
+        n_pages = rows.where("kind = 'page'").agg(F.sum("n")).first()[0] or 0
+        enough = F.col("every") > (LEAST - 1) * max(1.0, n_pages / SMOOTHED_PAGES)
+        names.count_parts((r["kind"], r["a"], r["n"]) for r in parts.where((F.col("a") == "") | enough).collect())
+        sent = pages.sparkSession.sparkContext.broadcast(names)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for batch in batches:
+                kinds, words, nexts, counts = (batch.column(c).to_pylist() for c in ("kind", "a", "b", "n"))
+                pairs = [own.weighed(*x) for x in zip(kinds, words, nexts, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "first", "other"])
+
+        words = rows.where(~F.col("kind").isin(*PARTS)).mapInArrow(weigh, "a string, first bigint, other bigint")
+        words = words.groupBy("a").agg(F.sum("first").alias("first"), F.sum("other").alias("other"))
+        able = (F.col("first") >= LEAST) & (F.log((F.col("first") + 0.2) / (F.col("other") + 0.5)) > -1)
+        names.count_firsts([(r["a"], r["first"], r["other"]) for r in words.where(able | F.col("a").isin(*NEVER)).collect()])
+        return names
+
+    def count_parts(self, counts: Iterable[tuple[str, str, int]]) -> None:
+        yes, no, pages = Counter(), Counter(), 0
+        for kind, part, n in counts:
+            if kind == "page":
+                pages = n
+            else:
+                (yes if kind == "yes" else no)[part] = n
+        n_yes, n_no, more = yes.pop("", 0), no.pop("", 0), max(1.0, pages / SMOOTHED_PAGES)
+        odds = lambda p: math.log((yes[p] + 0.5 * more) / (n_yes + more)) - math.log((no[p] + 0.5 * more) / (n_no + more))
+        self.part = {p: odds(p) for p in sorted({*yes, *no}) if yes[p] + no[p] > (LEAST - 1) * more}
         self.cache: dict[str, float] = {}
-        for words in runs:
-            for a, b in zip(words, words[1:]):
-                w = a.lower()
-                if len(a) > 2 and a.isalpha() and not a.isupper() and not _is_title(a):
-                    (first if self.surname(b) > 4 and self.surname(a) < 4 else other)[w] += 1
-            if words[-1].isalpha() and not words[-1].isupper() and words[-2:-1] != [","]:
-                other[words[-1].lower()] += self.surname(words[-1]) < 4
-        never = SHIP_BEFORE | FIRM_BEFORE | TITLES
-        self.firsts = {w: math.log((n + 0.2) / (other[w] + 0.5)) for w, n in first.items() if n > 2 and w not in never}
+
+    def weighed(self, kind: str, a: str, b: str, n: int) -> tuple[int, int]:
+        """How many of ``n`` sightings make ``a`` a first name, and how many another word."""
+        if kind == "titled":
+            return n, 0
+        if kind == "last":
+            return 0, n * (self.surname(a) < 4)
+        return (n, 0) if self.surname(b) > 4 and self.surname(a) < 4 else (0, n)
+
+    def count_firsts(self, counts: list[tuple[str, int, int]]) -> None:
+        seen = {w: n + other for w, n, other in counts}
+        misread = lambda w: any(n <= MISREAD_SHARE * seen.get(x, 0) for n in [seen[w]] for x in NEVER if _one_off(w, x))
+        self.firsts = {w: math.log((n + 0.2) / (other + 0.5)) for w, n, other in counts if n >= LEAST and w not in NEVER and not misread(w)}
 
     def surname(self, word: str) -> float:
         s = self.cache.get(word)
@@ -191,6 +294,20 @@ class Names:
         return self.firsts.get(word.lower().rstrip("."), -9.0)
 
 
+def _one_off(word: str, other: str) -> bool:
+    """Whether one letter put for another, left out or put in makes ``other`` of ``word``; letter pairs taken for one count as one."""
+    w, x = (t.replace("rn", "m").replace("cl", "d") for t in (word, other))
+    if abs(len(w) - len(x)) > 1 or min(len(w), len(x)) < 4:
+        return False
+    k = next((i for i, (p, q) in enumerate(zip(w, x)) if p != q), min(len(w), len(x)))
+    return w[k + (len(w) >= len(x)) :] == x[k + (len(x) >= len(w)) :]
+
+
+def _counts(rows: Counter) -> pa.RecordBatch:
+    kind, a, b = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in (kind, a, b)), pa.array(list(rows.values()), pa.int64())], names=["kind", "a", "b", "n"])
+
+
 def _is_title(word: str) -> bool:
     return word.rstrip(".").lower() in TITLES and word[0].isupper() and (len(word.rstrip(".")) > 1 or word in ("M.", "M"))
 
@@ -482,9 +599,12 @@ def _label(text: str, x: Span) -> bool | None:
     return number and not phone
 
 
-def fit(texts: list[str]) -> Model:
-    """A model fitted on the unmistakable cases in ``texts``; doubtful clusters are left out. The same texts give the same model."""
-    model = Model(Names(texts))
+def fit(texts: list[str], names: Names | None = None) -> Model:
+    """A model fitted on the unmistakable cases in ``texts``; doubtful clusters are left out. The same texts give the same model.
+
+    ``names``: how names are built, if it was counted on more than ``texts``.
+    """
+    model = Model(names or Names(texts))
     examples = []
     for text in texts:
         for g in clusters(spans(text, model.names)):
@@ -525,13 +645,13 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 
 def fitted(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
-    """A model fitted on about ``sample_pages`` pages spread over ``pages`` by the hash of their id."""
+    """A model whose names are counted on all ``pages``, its weights fitted on about ``sample_pages`` spread by the hash of their id."""
     slim = pages.where("text is not null").select("doc_id", *page_columns())
     n = slim.count()
     share = max(1, n // sample_pages)
     rows = slim.where(f"pmod(xxhash64(doc_id), {share}) = 0").limit(2 * sample_pages).orderBy("doc_id").toArrow()
     texts = [Page(p).text for b in rows.combine_chunks().to_batches() for p in reading_order(b)]
-    return fit(texts)
+    return fit(texts, Names.counted(slim))
 
 
 def find_pii(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -541,7 +661,8 @@ def find_pii(pages: DataFrame, model: Model | None = None) -> DataFrame:
     stretches ``line, from, to`` it covers, more than one where it runs over a line's end. Null and empty texts give nothing; pages
     stored twice are both searched; pages of any length are searched whole. Other columns are not read.
 
-    Scale: one pass over the pages without a shuffle; the model is fitted on a bounded sample and its size does not grow.
+    Scale: two passes over the pages, the first to count how names are built (its counts are shuffled, the pages never); the weights
+    are fitted on a bounded sample. What is sent to the tasks grows with the distinct first names alone.
     """
     model = model or fitted(pages)
     sent = pages.sparkSession.sparkContext.broadcast(model)

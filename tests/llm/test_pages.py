@@ -112,3 +112,36 @@ def test_page_places():
     assert p.text == "first broken word here other"
     at = p.text.index("word")
     assert p.line(at) == 0 and p.places(at, at + 4) == [(0, 13, 16), (2, 0, 2)] and p.places(23, 28) == [(1, 20, 25)]
+
+
+def test_names_are_counted_on_all_pages(spark):
+    """A first name that stands on no page of the sample, but on many others, begins a name."""
+    from isotwin.llm.pii import Names, fitted
+
+    rnd, sample = random.Random(8), 60
+    pages = [(i, "\n".join(letters(rnd, 6))) for i in range(600)]
+    sampled = {r["id"] for r in spark.range(600).where(f"pmod(xxhash64(id), {600 // sample}) = 0").collect()}
+    others = [i for i, _ in pages if i not in sampled][:40]
+    pages = [(i, text + f"\nThe prize went to Philippa {rnd.choice(['Kestoquist', 'Umbavik', 'Drorirell'])} at noon." if i in others else text) for i, text in pages]
+    df = spark.createDataFrame([page(i, text.split("\n")) for i, text in pages], P)
+    model = fitted(df.repartition(5), sample)
+    whole = Names([Page([(k, line, 0) for k, line in enumerate(text.split("\n"))]).text for _, text in pages])
+    assert model.names.part == whole.part and model.names.firsts == {w: x for w, x in whole.firsts.items() if x > -1} and "philippa" in model.names.firsts
+    last = {(i, len(text.split("\n")) - 1) for i, text in pages if i in others}
+    found = {(r["doc_id"], r["line_no"]) for r in find_pii(df, model).where("pii_kind = 'name'").collect()}
+    assert len(last & found) == len(others)
+    redacted = {r["doc_id"]: r["redacted"] for r in redact(df, model).collect()}
+    assert not any("Philippa" in redacted[i] for i in others)
+
+
+def test_odds_of_names_do_not_depend_on_size():
+    from isotwin.llm.pii import LEAST, Names, _one_off
+
+    rnd = random.Random(3)
+    texts = ["\n".join(letters(rnd, 6)) for _ in range(1500)]
+    once, thrice = Names(texts), Names(texts * 3)
+    assert once.part.keys() == thrice.part.keys() and all(abs(x - thrice.part[p]) < 0.01 for p, x in once.part.items())
+    rare = ["The prize went to Eustace Kestoquist, second Sehoner Umbavik."] * LEAST + ["The Schoner Kestoquist sank."] * 40
+    firsts = Names(texts + rare).firsts
+    assert "eustace" in firsts and "sehoner" not in firsts and "schoner" not in firsts
+    assert _one_off("firrna", "firma") and _one_off("schner", "schoner") and _one_off("moison", "maison") and not _one_off("fenna", "firma")

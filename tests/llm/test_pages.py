@@ -89,7 +89,8 @@ def test_personal_information(spark):
     assert find_pii(df.where("false"), model).count() == 0
 
 
-def test_best_path_is_the_best_of_all_paths():
+def test_best_path_and_expectations_are_those_of_all_paths():
+    """Against every path of small clusters: the best one, and the chances that the fit moves by."""
     rnd = random.Random(7)
     model = fit(["\n".join(letters(rnd, 6)) for _ in range(60)])
     from itertools import combinations
@@ -97,13 +98,25 @@ def test_best_path_is_the_best_of_all_paths():
     from isotwin.llm.pii import clusters
 
     seen = 0
-    for text in letters(rnd, 60):
+    for text in ["\n".join(letters(rnd, 3)) for _ in range(60)]:
         for group in clusters(spans(text, model.names)):
-            if 1 < len(group) < 12:
-                seen += 1
-                free = lambda xs: all(a[1] <= b[0] or b[1] <= a[0] for a, b in combinations(xs, 2))
-                most = max(sum(map(model.score, xs)) for n in range(len(group) + 1) for xs in combinations(group, n) if free(xs))
-                assert abs(sum(map(model.score, model.best(group))) - most) < 1e-9
+            if not 1 < len(group) < 11:
+                continue
+            seen += 1
+            group = sorted(group, key=lambda x: (x[1], x[0]))
+            free = lambda xs: all(a[1] <= b[0] for a, b in zip(xs, xs[1:]))
+            paths = [xs for n in range(len(group) + 1) for xs in combinations(group, n) if free(xs)]
+            near = lambda a, b: b[0] - a[1] < 24
+            total = lambda xs: sum(map(model.score, xs)) + sum(model.pair(text, a, b) for a, b in zip(xs, xs[1:]) if near(a, b))
+            assert abs(total(model.best(text, group)) - max(map(total, paths))) < 1e-9
+            given = [True] + [None] * (len(group) - 1)
+            weight = np.exp([total(xs) for xs in paths])
+            held = np.array([[x in xs for x in group] for xs in paths], float)
+            bound = weight * held[:, 0]
+            want = bound @ held / bound.sum() - weight @ held / weight.sum()
+            chances, pairs = model.expected(text, group, given)
+            assert np.allclose(chances, want, atol=1e-6)
+            assert all(abs(d) <= len(group) for d in pairs.values())
     assert seen > 10
 
 

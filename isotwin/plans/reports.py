@@ -39,7 +39,8 @@ def p3_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).groupBy("field_name", "pos").agg(F.count("*").alias("n"), F.countDistinct("val").alias("n_distinct"))
 
 
-def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of the three reports as ``common_units`` takes them; ``plain``: a plain number of the column's own unit may stand as it is."""
     sheet = read_table(spark, sf_dir, "run_sheet")
     null = F.lit(None).cast("string")
 
@@ -53,7 +54,26 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = sheet.select(F.col("raw_title").alias("_title"), note_unit(F.col("note"), "diann").alias("_diann"), note_unit(F.col("note"), "alphadia").alias("_alpha"))
     rows = diann.unionByName(alpha).unionByName(w3).join(small_side(notes), F.col("run") == F.col("_title"), "left")
     noted = F.when(F.col("program") == "diann", F.col("_diann")).when(F.col("program") == "alphadia", F.col("_alpha"))
-    return common_units(rows.withColumn("noted", noted).drop("_title", "_diann", "_alpha"), sheet.select(F.col("raw_title").alias("run"), "gradient_min"))
+    return rows.withColumn("noted", noted).drop("_title", "_diann", "_alpha")
+
+
+def _gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "run_sheet").select(F.col("raw_title").alias("run"), "gradient_min")
+
+
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common_units(_rows(spark, sf_dir), _gradients(spark, sf_dir))
+
+
+def p4_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links between sources alone say: in every second run the stated units, notes and gradients are hidden, and the units found
+    are compared with the hidden stated ones. Rows of these runs by table: how many stated a unit, and in how many it was found again."""
+    hidden = F.pmod(F.xxhash64("run"), F.lit(2)) == 0
+    rows = _rows(spark, sf_dir).withColumn("hidden", F.when(hidden, F.col("stated")))
+    rows = rows.withColumn("stated", F.when(~hidden, F.col("stated"))).withColumn("noted", F.when(~hidden, F.col("noted")))
+    runs = _gradients(spark, sf_dir).withColumn("gradient_min", F.when(~hidden, F.col("gradient_min")))
+    out = common_units(rows, runs).where("hidden is not null and rt_min is not null")
+    return out.groupBy("src_table").agg(F.count("*").alias("n_stated"), F.count(F.when(F.col("unit") == F.col("hidden"), 1)).alias("n_found"))
 
 
 def p4_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +86,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src_table", "psm_id", F.round(F.col("rt_min") * 6000).cast("bigint").alias("rt_cs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_value_counts, p4_found, p4_times)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_value_counts, p4_found, p4_times, p4_linked)}
 
 
 # --- SQL ----------------------------------------------------------------------------------------------

@@ -42,3 +42,9 @@ def test_every_order_is_looked_up(spark):
         row = got.loc[key]
         assert row.n == near.sum() and abs(row.intensity - counts[near].sum()) < 1e-6
         assert np.isnan(row.ppm_error) if not near.any() else abs(row.ppm_error - error[near].mean()) < 2e-5
+
+
+def test_links_alone_find_the_hidden_units(spark):
+    rows = reports.p4_linked(spark, str(FOLDER.parent / "sf0.01")).collect()
+    stated, found = sum(r["n_stated"] for r in rows), sum(r["n_found"] for r in rows)
+    assert stated > 500 and found >= 0.95 * stated

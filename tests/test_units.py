@@ -1,7 +1,9 @@
+import math
+
 from pyspark.sql import functions as F
 
 from isotwin.functions.times import run_stem, time_text, unit_of
-from isotwin.operators.units import common_units, note_unit
+from isotwin.operators.units import common_units, note_unit, source_links
 
 
 def test_time_texts(spark):
@@ -49,3 +51,41 @@ def test_unknown_gradient_is_linked_through_entities(spark):
 
 def test_empty(spark):
     assert convert(spark, [], []) == {}
+
+
+def test_units_spread_along_a_chain_of_sources(spark):
+    """Eight sources, each linked with the next alone, and only the first of known unit."""
+    rows, k = [], 0
+    for i in range(8):
+        for e in range(20):
+            for part in {i, i + 1} - {0}:
+                true = 10.0 + 2 * e
+                value = true if i == 0 else true * 60 * (1 + 0.01 * (i % 3))
+                rows.append((f"s{i}", k, f"r{i}", f"P{part}.{e}", value, "min" if i == 0 else None, None, "min"))
+                k += 1
+    got = convert(spark, rows, [(f"r{i}", None) for i in range(8)])
+    assert all(unit == ("min" if s == "s0" else "s") for (s, _), (unit, _) in got.items()) and len(got) == k
+
+
+def test_scale_and_offset_between_sources(spark):
+    """A clock in seconds that starts 300 minutes early: the ratio of the times says neither the unit nor the offset, their spread does."""
+    known = [("a", i, "r", f"P{i}", 10.0 + i, "min", None, "min") for i in range(40)]
+    late = [("b", i, "q", f"P{i}", (10.0 + i + 300.0) * 60, None, None, "min") for i in range(40)]
+    rows, runs = spark.createDataFrame(known + late, ROWS), spark.createDataFrame([("r", None), ("q", None)], "run string, gradient_min double")
+    links = source_links(rows.selectExpr("src_table as source", "entity", "value as time")).first()
+    assert (links["a"], links["b"], links["n"]) == ("a", "b", 40) and abs(links["log_scale"] - math.log(60)) < 1e-6 and abs(links["shift"] - 18000) < 120
+    got = {r["psm_id"]: (r["unit"], r["rt_min"]) for r in common_units(rows, runs, zeros=(0.0, -300.0, 300.0)).where("src_table = 'b'").collect()}
+    assert all(u == "s" and abs(t - (10.0 + i)) < 1e-6 for i, (u, t) in got.items()) and len(got) == 40
+
+
+def test_a_run_in_two_units(spark):
+    known = [("a", i, "r", f"P{i}", 10.0 + i, "min", None, "min") for i in range(30)]
+    mixed = [("b", i, "q", f"P{i}", (10.0 + i) * (60 if i % 5 else 1), None, None, "s") for i in range(30)]
+    got = convert(spark, known + mixed, [("r", None), ("q", None)])
+    assert all(got["b", i] == ("s" if i % 5 else "min", 10.0 + i) for i in range(30))
+
+
+def test_a_peptide_of_many_sources_gives_few_links(spark):
+    rows = [(f"s{i:03}", "hot", 10.0 + i % 7) for i in range(300)]
+    links = source_links(spark.createDataFrame(rows, "source string, entity string, time double"))
+    assert links.count() <= 600

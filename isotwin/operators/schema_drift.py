@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isotwin.functions.times import let, minutes, run_stem, time_text
-from isotwin.session import col
+from isotwin.session import col, cut
 
 #: Share of shared rows on which two columns agree from which rows speak for a pair in full; below it they speak against it in proportion.
 AGREE = 0.3
@@ -33,6 +33,8 @@ SCORE = 0.3
 ROUNDS, EPS = 200, 1e-6
 #: Least share of the compared rows that agree as times alone, from which a text column is read as a time.
 TIME_SHARE = 0.02
+#: Shared keys that are broadcast.
+FEW_KEYS = 500_000
 CHANGES = "from_table string, to_table string, change_kind string, col_from string, col_to string"
 
 #: A column or a field within one: the names that lead to it.
@@ -241,15 +243,20 @@ def _comparable(a: T.DataType, b: T.DataType) -> str:
 def agreement(left: DataFrame, right: DataFrame, key: str) -> Agreement:
     """For every pair of columns or fields the rows found in both files on which they agree, over the rows where both have a value.
 
-    Each file's values are read once, a key stored several times counts once (by its least row), then one equi-join on ``key`` and one
-    aggregation with two or three counts a pair; only these come back. Numbers agree within a thousandth. Types that never hold the same
+    The keys that both files hold come first, from the key columns alone; only their rows are read, broadcast against if there are at most
+    ``FEW_KEYS``. A key stored several times counts once (by its least row). Then one equi-join on ``key`` and one aggregation with two or
+    three counts a pair; only these come back. Numbers agree within a thousandth. Types that never hold the same
     quantity are not compared.
     """
+    keys = [df.where(col(key).isNotNull()).select(col(key).alias("_key")).distinct() for df in (left, right)]
+    shared = cut(keys[0].join(keys[1], "_key"))
+    few = shared.limit(FEW_KEYS + 1).count() <= FEW_KEYS
     sides = []
     for df, side in ((left, "l"), (right, "r")):
+        df = df.join(F.broadcast(shared) if few else shared, col(key) == F.col("_key"), "left_semi")
         kinds = _leaves(df.schema)
         values = [F.struct(*[c.alias(n) for n, c in zip("nts", _read(k, reduce(lambda c, f: c[f], p[1:], col(p[0]))))]).alias(f"{side}{i}") for i, (p, k) in enumerate(kinds.items())]
-        rows = df.where(col(key).isNotNull()).select(col(key).alias("_key"), F.struct(*values).alias(side))
+        rows = df.select(col(key).alias("_key"), F.struct(*values).alias(side))
         sides.append((kinds, rows.groupBy("_key").agg(F.min(side).alias(side))))
     (a, rows_a), (b, rows_b) = sides
     both = rows_a.join(rows_b, "_key")

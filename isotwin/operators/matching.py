@@ -69,15 +69,31 @@ def ppm_join(probes: DataFrame, peaks: DataFrame, tol: float, keys: list[str] |
     return probes.select("probe_id").join(sums, "probe_id", "left").select("probe_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"), "ppm_error")
 
 
+def _first_cycle(spectra: DataFrame) -> DataFrame:
+    """The spectra with a window strictly between a run's first and second MS1, or after the only one."""
+    ms1 = spectra.where("precursor_scan_id = -1").select("raw_title", F.col("spec_idx").cast("bigint").alias("i"))
+    first = ms1.groupBy("raw_title").agg(F.min("i").alias("i1"))
+    second = ms1.join(first, "raw_title").groupBy("raw_title").agg(F.first("i1").alias("i1"), F.min(F.when(F.col("i") > F.col("i1"), F.col("i"))).alias("i2"))
+    return spectra.join(second, "raw_title").where("spec_idx > i1 and (i2 is null or spec_idx < i2) and iso_lower is not null and not isnan(iso_lower)")
+
+
 def cycle_bounds(spectra: DataFrame) -> DataFrame:
     """``raw_title, bounds``: the lower bounds of the spectra strictly between a run's first and second MS1, in file order.
 
     MS1 are the spectra whose ``precursor_scan_id`` is -1. With one MS1 the cycle lasts to the run's end; a run without MS1, or
     without spectra in its first cycle, gives no row. What is gathered per run is one cycle.
     """
-    ms1 = spectra.where("precursor_scan_id = -1").select("raw_title", F.col("spec_idx").cast("bigint").alias("i"))
-    first = ms1.groupBy("raw_title").agg(F.min("i").alias("i1"))
-    second = ms1.join(first, "raw_title").groupBy("raw_title").agg(F.first("i1").alias("i1"), F.min(F.when(F.col("i") > F.col("i1"), F.col("i"))).alias("i2"))
-    inside = spectra.join(second, "raw_title").where("spec_idx > i1 and (i2 is null or spec_idx < i2) and iso_lower is not null and not isnan(iso_lower)")
+    inside = _first_cycle(spectra)
     rows = inside.groupBy("raw_title").agg(F.array_sort(F.collect_set(F.struct("spec_idx", "iso_lower"))).alias("rows"))
     return rows.select("raw_title", F.transform("rows", lambda r: r["iso_lower"].cast("double")).alias("bounds"))
+
+
+def cycle_range(spectra: DataFrame) -> DataFrame:
+    """``raw_title, low, high``: the least lower and the greatest upper bound of the windows of a run's first cycle (``cycle_bounds``)."""
+    return _first_cycle(spectra).groupBy("raw_title").agg(F.min("iso_lower").cast("double").alias("low"), F.max(F.when(~F.isnan("iso_upper"), F.col("iso_upper"))).cast("double").alias("high"))
+
+
+def fragment_range(spectra: DataFrame) -> DataFrame:
+    """``raw_title, low, high``: the range of the isolation windows of all of a run's spectra that have a parent; MS1 do not count."""
+    inside = spectra.where("precursor_scan_id <> -1 and iso_lower is not null and not isnan(iso_lower) and iso_upper is not null and not isnan(iso_upper)")
+    return inside.groupBy("raw_title").agg(F.min("iso_lower").cast("double").alias("low"), F.max("iso_upper").cast("double").alias("high"))

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isotwin.functions import chem
 from isotwin.functions.times import run_stem
 from isotwin.operators import traces
-from isotwin.operators.matching import cycle_bounds, ppm_join, window_of
+from isotwin.operators.matching import cycle_bounds, cycle_range, fragment_range, matched_intensity, ppm_join, window_of
 from isotwin.operators.ordered import nearest, neighbour_ranks, parents, rank_within
 from isotwin.plans.pair_flow import CHUNK_MINUTES, CHUNK_ROWS, pair_features
 from isotwin.session import col, cut, read_table, small_side
 from isotwin.sources.mzml import scan_number
 from isotwin.sources.reports import named_report, positional_report, spectra_frame, valid_psms
 
+#: SQL of a report's run.
+_STEM = r"""regexp_replace(regexp_replace(trim("Run"), '^.*[/\\]', ''), '\.(raw|mzML)$', '')"""
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: An event counts as a first-level scan if it is of this type; the limit below which orders are looked up.
-FIRST_LEVEL, ORDER_LIMIT = "signup", 105_000
-
 #: SQL of a peptide's residues and masses.
 _RESIDUES = ", ".join(f"('{r}', CAST({m} AS DOUBLE), {c}, {n})" for r, (m, c, n) in chem.RESIDUES.items())
 _MODS = ", ".join(f"({k}, CAST({v} AS DOUBLE))" for k, v in chem.MODIFICATIONS.items())
@@ -85,10 +86,10 @@ def label_flag(spark: SparkSession, d: str) -> DataFrame:
     return psms.select("psm_id", F.lower("protein_names").contains("human").alias("label"), F.length("sequence").alias("sequence_len"))
 
 
-@query("""SELECT 'w1' AS part, psm_id, "Run" AS run FROM report_w1 UNION ALL SELECT 'w2', psm_id, "Run" FROM report_w2 UNION ALL SELECT 'w3', psm_id, run FROM report_w3""")
+@query("""SELECT 'w1' AS part, psm_id, "Run" AS run FROM report_w1 UNION ALL SELECT 'w2', psm_id, "Run" FROM report_w2 UNION ALL SELECT 'w3', psm_id, run FROM report_w3 UNION ALL SELECT 'w4', psm_id, "raw.name" FROM report_w4""")
 def concat_runs(spark: SparkSession, d: str) -> DataFrame:
-    parts = [read_table(spark, d, f"report_{w}").select(F.lit(w).alias("part"), "psm_id", F.col("Run").alias("run")) for w in ("w1", "w2", "w3")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = {"w1": "Run", "w2": "Run", "w3": "run", "w4": "raw.name"}
+    return reduce(DataFrame.unionByName, [read_table(spark, d, f"report_{w}").select(F.lit(w).alias("part"), "psm_id", col(run).alias("run")) for w, run in names.items()])
 
 
 @query("SELECT count(*) AS n_psms, count(DISTINCT \"Run\") AS n_runs, max(length(\"Stripped.Sequence\")) AS longest FROM diann_report")
@@ -136,6 +137,15 @@ def cn_heavy_shift(spark: SparkSession, d: str) -> DataFrame:
     return psms.select("psm_id", *[F.round(chem.heavy_shift(F.col("sequence"), x), 5).alias(f"{x[0].lower()}_shift") for x in ("CHEAVY", "NHEAVY")])
 
 
+@query(f"""WITH t(r, mass, c, n) AS (VALUES {_RESIDUES}), l AS (SELECT psm_id, unnest(string_split("Stripped.Sequence", '')) AS r FROM diann_report),
+                u AS (SELECT psm_id, coalesce(sum(c), 0) * CAST({chem.HEAVY_C} AS DOUBLE) AS c, coalesce(sum(n), 0) * CAST({chem.HEAVY_N} AS DOUBLE) AS n FROM l LEFT JOIN t USING (r) GROUP BY psm_id)
+           SELECT psm_id, round((CAST("Precursor.Mz" AS DOUBLE) * "Precursor.Charge" + u.c) / "Precursor.Charge", 4) AS c_mz, round((CAST("Precursor.Mz" AS DOUBLE) * "Precursor.Charge" + u.n) / "Precursor.Charge", 4) AS n_mz FROM diann_report JOIN u USING (psm_id) WHERE "Precursor.Mz" IS NOT NULL""")
+def cn_heavy_mz(spark: SparkSession, d: str) -> DataFrame:
+    psms = positional_report(read_table(spark, d, "diann_report")).where("sequence is not null and precursor_mz is not null")
+    heavy = lambda label: F.round(chem.heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence"), label), 4)
+    return psms.select("psm_id", heavy("CHEAVY").alias("c_mz"), heavy("NHEAVY").alias("n_mz"))
+
+
 _IONS = f"""WITH t(r, mass, c, n) AS (VALUES {_RESIDUES}), p AS (SELECT DISTINCT "Stripped.Sequence" AS sequence FROM diann_report WHERE NOT contains("Stripped.Sequence", 'X') AND length("Stripped.Sequence") >= 2),
     l AS (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM p), m AS (SELECT sequence, i, mass, CAST(CASE substr(sequence, i, 1) WHEN 'K' THEN {chem.SILAC_K} WHEN 'R' THEN {chem.SILAC_R} ELSE 0 END AS DOUBLE) AS up FROM l JOIN t ON t.r = substr(sequence, i, 1)),
     w AS (SELECT sequence, i, length(sequence) AS n, sum(mass) OVER b AS bm, sum(up) OVER b AS bu, sum(mass) OVER y AS ym, sum(up) OVER y AS yu FROM m
@@ -166,6 +176,42 @@ def charge_mz(spark: SparkSession, d: str) -> DataFrame:
     return charged.select("sequence", "ion_type", "ion_num", "z", F.round(chem.ion_mz(F.col("light"), F.col("z")), 6).alias("mz"))
 
 
+def _modified_sql(site: str) -> str:
+    """The ions of whole modified peptides; ``site`` is what counts as the place of a modification."""
+    return rf"""WITH t(r, mass, c, n) AS (VALUES {_RESIDUES}), masses(id, mass) AS (VALUES {_MODS}),
+        p AS (SELECT DISTINCT "Modified.Sequence" AS modified, "Stripped.Sequence" AS q FROM diann_report WHERE NOT contains("Stripped.Sequence", 'X') AND length("Stripped.Sequence") >= 2 AND "Modified.Sequence" IS NOT NULL),
+        k AS (SELECT modified, string_split_regex(modified, '\([^)]*\)') AS parts, regexp_extract_all(modified, '\(([^)]*)\)', 1) AS marks FROM p),
+        x AS (SELECT modified, parts, marks, unnest(range(len(marks))) AS i FROM k),
+        e AS (SELECT modified, length(array_to_string(parts[1:i + 1], '')) AS site, TRY_CAST(regexp_extract(marks[i + 1], 'UniMod:([0-9]+)', 1) AS INT) AS id FROM x),
+        g AS (SELECT modified, {site} AS site, coalesce(mass, 0) AS mass FROM e LEFT JOIN masses USING (id)),
+        l AS (SELECT modified, q, unnest(range(1, length(q) + 1)) AS i FROM p),
+        m AS (SELECT modified, q, i, mass FROM l JOIN t ON t.r = substr(q, i, 1)),
+        w AS (SELECT modified, i, length(q) AS n, sum(mass) OVER b AS bm, sum(mass) OVER y AS ym FROM m WINDOW b AS (PARTITION BY modified, q ORDER BY i), y AS (PARTITION BY modified, q ORDER BY i DESC)),
+        ions AS (SELECT modified, 'b' AS ion_type, CAST(i AS INT) AS ion_num, bm AS mass, i - 1 AS upto, -1000 AS beyond FROM w WHERE i < n
+                 UNION ALL SELECT modified, 'y', CAST(n - i + 1 AS INT), ym + CAST({chem.WATER} AS DOUBLE), n, i - 2 FROM w WHERE i > 1)
+        SELECT ions.modified, ion_type, ion_num, round(any_value(ions.mass) + coalesce(sum(g.mass) FILTER (WHERE site <= upto AND site > beyond), 0), 6) AS light FROM ions LEFT JOIN g USING (modified) GROUP BY ALL"""
+
+
+def _modified(spark: SparkSession, d: str, site_mode: str) -> DataFrame:
+    report = valid_psms(positional_report(read_table(spark, d, "diann_report"))).select("psm_id", "sequence", "mods")
+    names = read_table(spark, d, "diann_report").select("psm_id", col("Modified.Sequence").alias("modified"))
+    peptides = report.join(names, "psm_id").where("modified is not null").dropDuplicates(["modified", "sequence"])
+    ions = peptides.select("modified", F.explode(chem.fragments(F.col("sequence"), F.col("mods"), site_mode=site_mode)).alias("f"))
+    return ions.select("modified", "f.ion_type", "f.ion_num", F.round("f.light", 6).alias("light"))
+
+
+@query(_modified_sql("site"))
+def modified_ions(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments with their modifications, sites as they stand."""
+    return _modified(spark, d, "reference")
+
+
+@query(_modified_sql("CASE WHEN site > 0 THEN site - 1 ELSE site END"))
+def modified_ions_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments with their modifications, each with the residue before its bracket."""
+    return _modified(spark, d, "corrected")
+
+
 # --- spectra, windows, nearest scans --------------------------------------------------------------------
 
 
@@ -192,6 +238,16 @@ def cycle_windows(spark: SparkSession, d: str) -> DataFrame:
     return cycle_bounds(_spectra(spark, d)).select("raw_title", F.posexplode("bounds").alias("place", "lower"))
 
 
+@query(f"WITH {_BOUNDS}, h AS (SELECT raw_title, CAST(min(lo) AS DOUBLE) AS low, CAST(max(hi) FILTER (WHERE NOT isnan(hi)) AS DOUBLE) AS high FROM s JOIN i2 USING (raw_title) WHERE spec_idx > i1 AND (i2 IS NULL OR spec_idx < i2) AND lo IS NOT NULL AND NOT isnan(lo) GROUP BY raw_title) SELECT * FROM h")
+def cycle_limits(spark: SparkSession, d: str) -> DataFrame:
+    return cycle_range(_spectra(spark, d))
+
+
+@query(f"WITH {_SPECTRA} SELECT raw_title, CAST(min(lo) AS DOUBLE) AS low, CAST(max(hi) AS DOUBLE) AS high FROM s WHERE precursor_scan_id <> -1 AND lo IS NOT NULL AND NOT isnan(lo) AND hi IS NOT NULL AND NOT isnan(hi) GROUP BY raw_title")
+def fragment_limits(spark: SparkSession, d: str) -> DataFrame:
+    return fragment_range(_spectra(spark, d))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     slim = _spectra(spark, d)
     center = (F.col("iso_lower").cast("double") + F.col("iso_upper").cast("double")) / 2
@@ -210,17 +266,17 @@ def window_ranks(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).select("raw_title", "spec_idx", F.col("win").cast("int").alias("win"), "rank")
 
 
-@query(f"""WITH {_BOUNDS}, m AS (SELECT psm_id, "Run" AS raw_title, "Precursor.Mz" AS mz, "Precursor.Charge" AS z, "Stripped.Sequence" AS q FROM diann_report WHERE "Precursor.Mz" IS NOT NULL AND NOT isnan("Precursor.Mz") AND "Stripped.Sequence" IS NOT NULL AND "Run" IN (SELECT raw_title FROM b)),
+@query(f"""WITH {_BOUNDS}, m AS (SELECT psm_id, {_STEM} AS raw_title, "Precursor.Mz" AS mz, "Precursor.Charge" AS z, "Stripped.Sequence" AS q FROM diann_report WHERE "Precursor.Mz" IS NOT NULL AND NOT isnan("Precursor.Mz") AND "Stripped.Sequence" IS NOT NULL AND {_STEM} IN (SELECT raw_title FROM b)),
             h AS (SELECT *, (mz * z + (length(q) - length(replace(q, 'K', ''))) * {chem.SILAC_K} + (length(q) - length(replace(q, 'R', ''))) * {chem.SILAC_R}) / z AS hmz FROM m)
           SELECT psm_id, CAST(count(b.lower) FILTER (WHERE b.lower < mz) AS INT) AS light_win, count(b.lower) FILTER (WHERE b.lower < mz) = count(b.lower) FILTER (WHERE b.lower < hmz) AS same_window FROM h JOIN b USING (raw_title) GROUP BY psm_id""")
 def same_window(spark: SparkSession, d: str) -> DataFrame:
-    psms = positional_report(read_table(spark, d, "diann_report")).where("precursor_mz is not null and not isnan(precursor_mz) and sequence is not null")
+    psms = positional_report(read_table(spark, d, "diann_report")).where("precursor_mz is not null and not isnan(precursor_mz) and sequence is not null").withColumn("raw_title", run_stem("raw_title"))
     placed = psms.join(small_side(cycle_bounds(_spectra(spark, d))), "raw_title")
     light, heavy = window_of(F.col("bounds"), F.col("precursor_mz")), window_of(F.col("bounds"), chem.heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence")))
     return placed.select("psm_id", light.alias("light_win"), (light == heavy).alias("same_window"))
 
 
-_PROBES = """p AS (SELECT psm_id, regexp_replace(regexp_replace("Run", '^.*[/\\\\]', ''), '\\.(raw|mzML)$', '') AS raw_title, "RT" AS t FROM diann_report WHERE "RT" IS NOT NULL AND NOT isnan("RT"))"""
+_PROBES = f"""p AS (SELECT psm_id, {_STEM} AS raw_title, "RT" AS t FROM diann_report WHERE "RT" IS NOT NULL AND NOT isnan("RT"))"""
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
@@ -239,6 +295,20 @@ def nearest_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("probe_id").alias("psm_id"), F.col("rank").alias("spec_idx"))
 
 
+@query(f"""WITH {_RANKED}, m AS (SELECT psm_id, {_STEM} AS raw_title, "RT" AS t, CAST("Precursor.Mz" AS DOUBLE) AS mz FROM diann_report WHERE "RT" IS NOT NULL AND NOT isnan("RT") AND "Precursor.Mz" IS NOT NULL AND NOT isnan("Precursor.Mz")),
+            p AS (SELECT psm_id, m.raw_title, any_value(t) AS t, count(*) FILTER (WHERE b.lower < mz) AS win FROM m JOIN b USING (raw_title) GROUP BY psm_id, m.raw_title),
+            q AS (SELECT psm_id, rank, row_number() OVER (PARTITION BY psm_id ORDER BY abs(r.rt - t), r.rt, CASE WHEN r.rt < t THEN -rank ELSE rank END) AS k FROM p JOIN r ON r.raw_title = p.raw_title AND r.win = p.win WHERE r.rt > 0)
+          SELECT psm_id, CAST(rank AS BIGINT) AS rank FROM q WHERE k = 1""")
+def window_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """For each match the spectrum of its run and window that is nearest in time, by its rank in the window."""
+    slim = _spectra(spark, d)
+    bounds = cycle_bounds(slim)
+    psms = read_table(spark, d, "diann_report").select(F.col("psm_id").alias("probe_id"), run_stem(F.col("Run")).alias("raw_title"), F.col("RT").alias("time"), col("Precursor.Mz").cast("double").alias("mz")).where("mz is not null and not isnan(mz)")
+    probes = psms.join(small_side(bounds), "raw_title").select("probe_id", "raw_title", "time", window_of(F.col("bounds"), F.col("mz")).cast("int").alias("win"))
+    points = _ranked(spark, d).where("rt > 0").select("raw_title", F.col("win").cast("int").alias("win"), "rank", F.col("rt").cast("double").alias("time"))
+    return nearest(probes, points, ["raw_title", "win"], CHUNK_MINUTES).select(F.col("probe_id").alias("psm_id"), "rank")
+
+
 @query(f"""WITH {_SPECTRA}, {_PROBES}, q AS (SELECT psm_id, spec_idx, row_number() OVER (PARTITION BY psm_id ORDER BY s.rt, spec_idx) AS k
            FROM p JOIN s USING (raw_title) WHERE precursor_scan_id = -1 AND s.rt > 0 AND s.rt >= t) SELECT psm_id, CAST(spec_idx AS BIGINT) AS spec_idx FROM q WHERE k = 1""")
 def next_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -295,32 +365,28 @@ def mz_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PEAKS}, e AS (SELECT raw_title, spec_idx, unnest(mz) AS m, unnest(intensity) AS i FROM u) SELECT raw_title, spec_idx, round(sum(CAST(i AS DOUBLE)), 2) AS inside FROM e WHERE abs((CAST(m AS DOUBLE) - 500) / 500 * 1e6) <= 100000 GROUP BY ALL""")
 def peak_filter(spark: SparkSession, d: str) -> DataFrame:
-    from isotwin.operators.matching import matched_intensity
-
     inside = matched_intensity(F.col("mz"), F.col("intensity"), F.lit(500.0), 100_000.0)
     some = F.exists("mz", lambda m: F.abs((m.cast("double") - 500) / 500 * 1e6) <= 100_000)
     return _peaks(spark, d).where(some).select("raw_title", "spec_idx", F.round(inside, 2).alias("inside"))
 
 
-@query("""WITH l AS (SELECT l_extendedprice AS mz, l_quantity AS q FROM lineitem)
+_PPM_SQL = """WITH l AS (SELECT l_extendedprice AS mz, l_quantity AS q FROM lineitem)
           SELECT o_orderkey AS probe_id, count(mz) AS n, coalesce(sum(q), 0.0) AS intensity, round(avg((mz - o_totalprice) / o_totalprice * 1e6), 5) AS ppm_error
-          FROM orders LEFT JOIN l ON l.mz BETWEEN o_totalprice * 0.9999 AND o_totalprice * 1.0001 AND abs((mz - o_totalprice) / o_totalprice * 1e6) <= 10 WHERE o_totalprice < 105000 GROUP BY o_orderkey""")
-def ppm_match(spark: SparkSession, d: str) -> DataFrame:
-    return _ppm(spark, d, read_table(spark, d, "orders").where(F.col("o_totalprice") < ORDER_LIMIT))
+          FROM orders LEFT JOIN l ON l.mz BETWEEN o_totalprice * 0.9999 AND o_totalprice * 1.0001 AND abs((mz - o_totalprice) / o_totalprice * 1e6) <= 10 GROUP BY o_orderkey"""
 
 
-def _ppm(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
-    probes = orders.select(F.col("o_orderkey").alias("probe_id"), F.col("o_totalprice").alias("theory"))
+@query(_PPM_SQL)
+def ppm_match(spark: SparkSession, d: str) -> DataFrame:
+    """Every order looked up: 0 and null where no price is near."""
+    probes = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("probe_id"), F.col("o_totalprice").alias("theory"))
     peaks = read_table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
     return ppm_join(probes, peaks, 10.0).withColumn("ppm_error", F.round("ppm_error", 5))
 
 
-@query("""WITH l AS (SELECT l_extendedprice AS mz, l_quantity AS q FROM lineitem)
-          SELECT o_orderkey AS probe_id, count(mz) AS n, coalesce(sum(q), 0.0) AS intensity, round(avg((mz - o_totalprice) / o_totalprice * 1e6), 5) AS ppm_error
-          FROM orders LEFT JOIN l ON l.mz BETWEEN o_totalprice * 0.9999 AND o_totalprice * 1.0001 AND abs((mz - o_totalprice) / o_totalprice * 1e6) <= 10 GROUP BY o_orderkey""")
+@query(_PPM_SQL)
 def ppm_match_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every order looked up: 0 and null where no price is near."""
-    return _ppm(spark, d, read_table(spark, d, "orders"))
+    """``ppm_match`` by its former name."""
+    return ppm_match(spark, d)
 
 
 # --- traces and summaries ------------------------------------------------------------------------------
@@ -332,6 +398,16 @@ def xic_apex(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(traces.apex("us", "value", "event_id").alias("apex_us"))
 
 
+@query("""WITH k AS (SELECT user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC NULLS LAST, event_id) AS k FROM events WHERE value IS NOT NULL AND event_type IN ('click', 'view'))
+          SELECT user_id, max(us) FILTER (WHERE event_type = 'click') - max(us) FILTER (WHERE event_type = 'view') AS delta_us FROM k WHERE k = 1 GROUP BY user_id""")
+def apex_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The distance in time of two traces' apexes; null where a trace is empty."""
+    rows = read_table(spark, d, "events").where("value is not null and event_type in ('click', 'view')").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    tops = rows.groupBy("user_id", "event_type").agg(traces.apex("us", "value", "event_id").alias("us"))
+    top = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("us")))
+    return tops.groupBy("user_id").agg((top("click") - top("view")).alias("delta_us"))
+
+
 @query("""SELECT l_returnflag, l_shipdate, CASE WHEN min(l_quantity) = max(l_quantity) OR min(l_extendedprice) = max(l_extendedprice) THEN 0 ELSE round(coalesce(corr(l_quantity, l_extendedprice), 0), 6) END AS r FROM lineitem GROUP BY ALL""")
 def pearson_safe(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem").groupBy("l_returnflag", "l_shipdate").agg(F.round(traces.safe_pearson("l_quantity", "l_extendedprice"), 6).alias("r"))
@@ -368,7 +444,11 @@ def densified(spark: SparkSession, d: str) -> DataFrame:
     return days.join(own, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, embedding AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), x AS (SELECT vec_id, label, i, CAST(v[i] AS DOUBLE) AS x FROM e),
+            m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i), n AS (SELECT vec_id, label, max(i) AS n FROM x GROUP BY vec_id, label), g AS (SELECT vec_id, label, k, k * (n - 1) / 99.0 AS z, n FROM n, range(100) r(k)),
+            f AS (SELECT *, CAST(least(floor(z), n - 2) AS BIGINT) + 1 AS i FROM g WHERE n > 1),
+            y AS (SELECT f.vec_id, a.x + (b.x - a.x) * (z - (f.i - 1)) AS u, c.x + (d.x - c.x) * (z - (f.i - 1)) AS w FROM f JOIN x a ON a.vec_id = f.vec_id AND a.i = f.i JOIN x b ON b.vec_id = f.vec_id AND b.i = f.i + 1 JOIN m c ON c.label = f.label AND c.i = f.i JOIN m d ON d.label = f.label AND d.i = f.i + 1)
+          SELECT vec_id, round(corr(u, w), 6) AS score FROM y GROUP BY vec_id""")
 def trace_scores(spark: SparkSession, d: str) -> DataFrame:
     """Each vector, as a trace, against the mean vector of its label."""
     rows = read_table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

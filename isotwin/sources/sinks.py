@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,17 @@ def write_features(features: DataFrame, path: str, single_file: bool = False) ->
     (out.coalesce(1) if single_file else out).write.mode("overwrite").csv(path, header=True)
 
 
-def staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` as Parquet, by Spark's commit protocol, and read again; what is there already is read as it is."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    where = jvm.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        df.write.mode("overwrite").parquet(path)
+def staged(spark: SparkSession, df: DataFrame, path: str, reuse: bool = False) -> DataFrame:
+    """``df`` written to ``path`` as Parquet, by Spark's commit protocol, and read again.
+
+    What is there is written over, unless ``reuse`` says that a whole stage of the same columns and types there is to be read as it is.
+    """
+    if reuse:
+        try:
+            there = spark.read.parquet(path)
+            if there.dtypes == df.dtypes:
+                return there
+        except AnalysisException:
+            pass
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -144,7 +144,10 @@ def test_sinks_and_config(spark, tmp_path):
     write_features(df.where("false"), str(tmp_path / "none"), single_file=True)
     assert next((tmp_path / "none").glob("*.csv")).read_text().strip() == ",".join(FEATURE_COLUMNS)
     assert staged(spark, spark.range(3), str(tmp_path / "stage")).count() == 3
-    assert staged(spark, spark.range(9), str(tmp_path / "stage")).count() == 3
+    assert staged(spark, spark.range(9), str(tmp_path / "stage")).count() == 9
+    assert staged(spark, spark.range(2), str(tmp_path / "stage"), reuse=True).count() == 9
+    assert staged(spark, spark.range(2).selectExpr("id as other"), str(tmp_path / "stage"), reuse=True).count() == 2
+    assert staged(spark, spark.range(4), str(tmp_path / "fresh"), reuse=True).count() == 4
     (tmp_path / "c.ini").write_text("[input]\nraw_num = 1\nraw_path_1 = a.mzML\nlight_result_file = r.parquet\n[general]\nmass_tol_ppm = 10\n")
     job = read_job(str(tmp_path / "c.ini"))
     assert (job.raw_paths, job.engine, job.half_width, job.result) == (["a.mzML"], 1, 3, "result.csv")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isotwin.functions.times import let
 from isotwin.session import col, cut
 
 #: Characters that separate values, strongest first; blanks separate only where none of these does.
@@ -29,19 +30,24 @@ _STARTS = r"(^|[;|,/\[{]|\s)"
 _RULE_TYPE = "sep string, opened string, closed string, pattern string"
 
 
+def _trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(" \t\n\u000b\f\r"))
+
+
 def skeleton(value: Column) -> Column:
     """The delimiter skeleton: ``a`` for a plain value, ``q`` for a quoted one, separators, blanks and brackets as they are.
 
-    A repeated stretch is written once, so the number of skeletons depends on the habits of writing, not on the rows.
+    A repeated stretch is written once, so the number of skeletons depends on the habits of writing, not on the rows. A text that
+    holds nothing but a plain value costs one look, and quotes and brackets cost only where there are any.
     """
-    s = F.regexp_replace(value, _STARTS + _DOUBLE + _ENDS, "$1\u0001")
-    s = F.regexp_replace(s, _STARTS + _SINGLE + _ENDS, "$1\u0001")
+    quoted = value.contains('"') | value.contains("'")
+    s = F.when(quoted, F.regexp_replace(F.regexp_replace(value, _STARTS + _DOUBLE + _ENDS, "$1\u0001"), _STARTS + _SINGLE + _ENDS, "$1\u0001")).otherwise(value)
     s = F.regexp_replace(s, r"[^\u0001;|,/\s\[\]{}]+", "a")
-    s = F.regexp_replace(s, r"a[\[\]{}]+a", "a")
+    s = let(s, lambda x: F.when(x.rlike(r"[\[\]{}]"), F.regexp_replace(x, r"a[\[\]{}]+a", "a")).otherwise(x))
     s = F.regexp_replace(F.translate(s, "\u0001", "q"), r"[^\S\t]+", " ")
     for _ in range(2):
         s = F.regexp_replace(s, r"([aq][;|,/\s]+)\1+", "$1")
-    return s
+    return F.when(value.rlike(r"""[;|,/\s"'\[\]{}]"""), s).otherwise(F.lit("a"))
 
 
 def _rule(shape: str) -> tuple[str, str, str, str]:
@@ -73,11 +79,15 @@ def resolve(shapes: pd.Series) -> pd.DataFrame:
 
 def _unquoted(value: Column) -> Column:
     """``value`` without blanks and quotes around it, a doubled quote within written once."""
-    v = F.regexp_replace(value, r"^\s+|\s+$", "")
-    for q in ('"', "'"):
-        inner = F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit(q * 2), F.lit(q))
-        v = F.when(v.rlike(f"(?s)^{q}(?:[^{q}]|{q}{q})*{q}$"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(v)
-    return v
+
+    def bare(v: Column) -> Column:
+        out = v
+        for q in ('"', "'"):
+            inner = F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit(q * 2), F.lit(q))
+            out = F.when(v.startswith(q) & v.rlike(f"(?s)^{q}(?:[^{q}]|{q}{q})*{q}$"), _trimmed(inner)).otherwise(out)
+        return out
+
+    return let(_trimmed(value), bare)
 
 
 def split_fields(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -93,14 +103,18 @@ def split_fields(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame
     skeleton that holds a third of all rows costs one row per task. The rules are broadcast if at most
     ``BROADCAST_RULES``, counted, and joined by a shuffle otherwise.
     """
-    long = df.select(*[col(k) for k in keys], F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), col(f).alias("raw")) for f in fields])).alias("_f")).select(*[col(k) for k in keys], "_f.*").where("raw is not null and raw rlike '\\\\S'").withColumn("shape", skeleton(F.col("raw")))
+    long = df.select(*[col(k) for k in keys], F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), _trimmed(col(f)).alias("raw")) for f in fields])).alias("_f")).select(*[col(k) for k in keys], "_f.*").where("raw <> ''").withColumn("shape", skeleton(F.col("raw")))
     shapes = long.select("shape").distinct()
     rules = cut(shapes.withColumn("rule", F.pandas_udf(resolve, _RULE_TYPE)("shape")).select("shape", "rule.*"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    # There are as many patterns as sets of separators, whatever the rows; as literals each is compiled once.
+    patterns = {r["sep"]: r["pattern"] for r in rules.select("sep", "pattern").distinct().collect() if r["sep"]}
     ruled = long.join(F.broadcast(rules) if few else rules, "shape")
-    body = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    body = F.when(F.col("opened") != "", F.substring(body, F.lit(2), F.length(body) - 2)).otherwise(body)
-    first = F.when(F.col("sep") == "", F.lit("")).otherwise(F.substring("sep", 1, 1))
-    values = F.when(F.col("sep") == "", F.array(body)).otherwise(F.regexp_extract_all(F.concat(first, F.regexp_replace(body, r"^\s+|\s+$", "")), F.col("pattern"), F.lit(1)))
+    ruled = ruled.withColumn("body", F.when(F.col("opened") != "", _trimmed(F.substring("raw", F.lit(2), F.length("raw") - 2))).otherwise(F.col("raw")))
+    body, quoted = F.col("body"), F.col("raw").contains('"') | F.col("raw").contains("'")
+    values = F.array(body)
+    for sep, pattern in sorted(patterns.items()):
+        parted = F.split(body, r"\s+" if sep == " " else "[" + re.escape(sep) + "]")
+        values = F.when(F.col("sep") == sep, F.when(quoted, F.regexp_extract_all(F.concat(F.lit(sep[0]), body), F.lit(pattern), F.lit(1))).otherwise(parted)).otherwise(values)
     out = ruled.select(*[col(k) for k in keys], "field_name", F.posexplode(values).alias("place", "part"))
     return out.select(*[col(k) for k in keys], "field_name", (F.col("place") + 1).cast("bigint").alias("pos"), _unquoted(F.col("part")).alias("val")).where("val <> ''")

@@ -19,8 +19,15 @@ def test_against_brute_force(spark):
         near = [(abs(t - s), r) for r, f, s, lo, up in right if f == e and lo <= v <= up and abs(t - s) <= 0.05]
         if near:
             want[i] = min(near)[1]
-    for size in (7.0, 20.0, 1000.0):
-        assert pairs(spark, left, right + right[:100], value_bin=size) == want
+    assert pairs(spark, left, right + right[:100]) == want
+    # Widths from nothing to very wide at once.
+    odd = [(1000 + i, e, t, lo, lo + [0.0, 1e-6, 5000.0][i % 3]) for i, e, t, lo, _ in right[:90]]
+    best = {}
+    for i, e, t, v in left + [(900 + k, e, t, lo) for k, (_, e, t, lo, _) in enumerate(odd)]:
+        near = [(abs(t - s), r) for r, f, s, lo, up in right + odd if f == e and lo <= v <= up and abs(t - s) <= 0.05]
+        if near:
+            best[i] = min(near)[1]
+    assert pairs(spark, left + [(900 + k, e, t, lo) for k, (_, e, t, lo, _) in enumerate(odd)], right + odd) == best
 
 
 def test_ties_nulls_and_edges(spark):

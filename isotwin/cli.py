@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     logging.basicConfig(filename=args.logpath, level=logging.INFO)
     job = read_job(args.configpath)
     spark = SparkSession.builder.appName("isotwin").getOrCreate()
-    features = pair_features(read_psms(spark, job.report, job.engine), read_mzml(spark, job.raw_paths), job.tolerance_ppm, job.half_width)
+    features = pair_features(read_psms(spark, job.report, job.engine), read_mzml(spark, job.raw_paths), job.tolerance_ppm, job.half_width, job.site_mode, job.label)
     write_features(features, job.result)
     logging.info("wrote %s", job.result)
 

@@ -89,18 +89,20 @@ def fragments(sequence: Column, mods: Column, label: str = "SILAC", site_mode: s
     heavy = {"SILAC": {"K": SILAC_K, "R": SILAC_R}, "CHEAVY": {r: x[1] * HEAVY_C for r, x in RESIDUES.items()}, "NHEAVY": {r: x[2] * HEAVY_N for r, x in RESIDUES.items()}}[label]
     mass, shift = _lookup({r: x[0] for r, x in RESIDUES.items()}), _lookup(heavy)
     n = F.length(sequence)
-    # Each residue is looked up once; the ions are sums over slices of the numbers.
+    # Each residue is looked up once; the ions are running sums from either end.
     residues = F.transform(F.split(sequence, ""), lambda r: F.struct(F.try_element_at(mass, r).alias("m"), F.coalesce(F.try_element_at(shift, r), F.lit(0.0)).alias("s")))
-    total = lambda part, name: F.aggregate(part, F.lit(0.0), lambda s, r: s + r[name])
+    sums = "array<struct<m:double,s:double>>"
+    zero = F.array(F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))).cast(sums)
+    running = lambda rs: F.aggregate(rs, zero, lambda acc, r: F.concat(acc, F.array(let(F.element_at(acc, -1), lambda t: F.struct((t["m"] + r["m"]).alias("m"), (t["s"] + r["s"]).alias("s")))).cast(sums)))
 
     def ion(kind: str, i: Column, part: Column, extra: Column) -> Column:
-        light = total(part, "m") + extra
-        return F.struct(F.lit(kind).alias("ion_type"), i.cast("int").alias("ion_num"), light.alias("light"), (light + total(part, "s")).alias("heavy"))
+        light = part["m"] + extra
+        return F.struct(F.lit(kind).alias("ion_type"), i.cast("int").alias("ion_num"), light.alias("light"), (light + part["s"]).alias("heavy"))
 
     def ions(residues: Column) -> Column:
         steps = F.sequence(F.lit(1), n - 1)
-        b = F.transform(steps, lambda i: ion("b", i, F.slice(residues, F.lit(1), i), mod_mass(mods, i - 1)))
-        y = F.transform(steps, lambda i: ion("y", i, F.slice(residues, n - i + 1, i), F.lit(WATER) + mod_mass(mods, n) - mod_mass(mods, n - i - 1)))
+        b = let(running(residues), lambda sums: F.transform(steps, lambda i: ion("b", i, F.get(sums, i), mod_mass(mods, i - 1))))
+        y = let(running(F.reverse(residues)), lambda sums: F.transform(steps, lambda i: ion("y", i, F.get(sums, i), F.lit(WATER) + mod_mass(mods, n) - mod_mass(mods, n - i - 1))))
         return F.concat(b, y)
 
     none = F.array().cast("array<struct<ion_type:string,ion_num:int,light:double,heavy:double>>")

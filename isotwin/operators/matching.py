@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +30,40 @@ def matched_intensity(mz: Column, intensity: Column, theory: Column, tol: float)
 def matched_intensities(mz: Column, intensity: Column, theories: Column, tol: float) -> Column:
     """``matched_intensity`` for each of an array of ``theories``, as ``array<double>``; a null one gives 0.
 
-    For many masses per spectrum: a spectrum's peaks are sorted once and each mass finds its own by binary search.
+    For many masses per spectrum: the peaks of a whole Arrow batch are brought in order, unless they are, and all masses find theirs by
+    one binary search.
     """
 
-    def match(mzs: pd.Series, intensities: pd.Series, asked: pd.Series) -> pd.Series:
-        out = []
-        for peaks, values, masses in zip(mzs, intensities, asked):
-            found = np.zeros(0 if masses is None else len(masses))
-            if len(found) and peaks is not None and len(peaks):
-                peaks, values, masses = (np.asarray(x, float) for x in (peaks, values, masses))
-                order = np.argsort(peaks, kind="stable")
-                peaks = peaks[order]
-                reach = np.abs(masses) * (tol * 1e-6) * (1 + 1e-9) + 1e-9
-                low, high = np.searchsorted(peaks, masses - reach), np.searchsorted(peaks, masses + reach, side="right")
-                for k in np.flatnonzero(high > low):
-                    near = slice(low[k], high[k])
-                    inside = np.abs((peaks[near] - masses[k]) / masses[k] * 1e6) <= tol
-                    found[k] = values[order[near]][inside].sum()
-            out.append(found)
-        return pd.Series(out)
-
-    return F.pandas_udf(match, "array<double>")(mz, intensity, theories)
+    def match(mzs: pa.Array, intensities: pa.Array, asked: pa.Array) -> pa.Array:
+        row, peaks = _flat(mzs)
+        order = np.arange(len(peaks))
+        # One number line for all rows of the batch: each row's masses have a stretch of their own.
+        target_row, masses = _flat(asked)
+        stretch = 2 * max(1.0, np.nanmax(peaks, initial=0.0), np.nanmax(np.abs(masses), initial=0.0))
+        line = row * stretch + peaks
+        if len(line) and np.any(np.diff(line) < 0):
+            order = np.argsort(line, kind="stable")
+            line = line[order]
+        reach = np.abs(masses) * (tol * 1e-6) * (1 + 1e-9) + 1e-9 + len(mzs) * stretch * 1e-15
+        at = target_row * stretch + masses
+        low, high = np.searchsorted(line, at - reach), np.searchsorted(line, at + reach, side="right")
+        some = np.flatnonzero(high > low)
+        times = (high - low)[some]
+        which = np.repeat(some, times)
+        near = order[np.repeat(low[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        _, values = _flat(intensities)
+        inside = (np.abs((peaks[near] - masses[which]) / masses[which] * 1e6) <= tol) & (row[near] == target_row[which])
+        found = np.bincount(which[inside], values[near[inside]], len(masses))
+        lengths = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(found))
+
+    return F.arrow_udf(match, "array<double>")(mz, intensity, theories)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each value of a batch of lists, and the values; null lists hold none, null values are NaN."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
 def ppm_join(probes: DataFrame, peaks: DataFrame, tol: float, keys: list[str] | None = None) -> DataFrame:

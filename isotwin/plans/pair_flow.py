@@ -19,12 +19,12 @@ UNMOVED = 0.01
 MS1, LIGHT, HEAVY = 0, 1, 2
 
 
-def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, half_width: int = 6, site_mode: str = "reference") -> DataFrame:
+def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, half_width: int = 6, site_mode: str = "reference", label: str = "SILAC") -> DataFrame:
     """One row per valid PSM whose run is in ``spectra``: ``psm_id`` and the feature columns.
 
     ``psms`` and ``spectra`` as in ``isotwin.schemas``; ``psm_id`` must be unique. Traces reach ``half_width`` spectra to either side of the
     one nearest in time. A PSM without time, mass or spectra near it has empty traces, hence zeros. Peptides with an X are left
-    out. Spectra stored twice count once.
+    out. Spectra stored twice count once. ``label`` and ``site_mode``: see ``functions.chem``.
 
     Scale: ranks, windows and neighbours are found on rows without peaks; peaks are shuffled once, to be matched in place, and
     come out as a number per fragment. No step gathers a run.
@@ -38,10 +38,11 @@ def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, ha
     win = F.when(F.col("precursor_scan_id") == -1, F.lit(-1)).otherwise(window_of(F.col("bounds"), center))
     slim = cut(rank_within(slim.withColumn("win", win).where("win is not null and not (win >= 0 and (iso_lower is null or isnan(iso_lower)))").drop("bounds"), ["raw_title", "win"], "spec_idx", CHUNK_ROWS))
 
-    heavy = heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence"))
-    psm = psms.join(small_side(bounds), "raw_title", "left").withColumn("heavy_mz", heavy)
+    heavy = heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence"), label)
+    # Spread before the masses are reckoned: a report may come in few large pieces.
+    psm = psms.repartition(int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions")), "psm_id").join(small_side(bounds), "raw_title", "left").withColumn("heavy_mz", heavy)
     psm = psm.withColumn("win_l", window_of(F.col("bounds"), F.col("precursor_mz"))).withColumn("win_h", window_of(F.col("bounds"), F.col("heavy_mz"))).drop("bounds")
-    ions = F.filter(fragments(F.col("sequence"), F.col("mods"), site_mode=site_mode), lambda f: ~F.coalesce((F.abs(f["heavy"] - f["light"]) < UNMOVED) & (F.col("win_l") == F.col("win_h")), F.lit(False)))
+    ions = F.filter(fragments(F.col("sequence"), F.col("mods"), label, site_mode), lambda f: ~F.coalesce((F.abs(f["heavy"] - f["light"]) < UNMOVED) & (F.col("win_l") == F.col("win_h")), F.lit(False)))
     psm = cut(psm.withColumn("ions", ions))
 
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), w.cast("int").alias("win"), m.alias("mz")) for k, w, m in ((MS1, F.lit(-1), F.col("precursor_mz")), (LIGHT, F.col("win_l"), F.col("precursor_mz")), (HEAVY, F.col("win_h"), F.col("heavy_mz")))])

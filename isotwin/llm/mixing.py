@@ -8,9 +8,10 @@ that only a small landing problem remains per source.
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 import math
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,29 +29,39 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pages in a block of the flight phase, about.
 BLOCK = 2000
 
-_encodings: dict[str, object] = {}
+_encodings: dict[int, object] = {}
 
 
-def _encoding(folder: str, vocabulary: str):
-    """The byte-level tokenizer of a vocabulary file of ranks; read once per Python worker."""
-    path = str(Path(folder) / vocabulary)
-    if path not in _encodings:
+def _vocabulary(folder: str, vocabulary: str) -> tuple[int, str, bytes]:
+    """A vocabulary of ranks and the pattern that goes with it, read once on the driver: a number that tells it from others, pattern, file.
+
+    The folder describes its files in ``__init__.py``; the pattern is the text there called ``PATTERN``, which is read, not run.
+    """
+    names = ast.parse((Path(folder) / "__init__.py").read_text())
+    pattern = next(ast.literal_eval(n.value) for n in names.body if isinstance(n, ast.Assign) and n.targets[0].id == "PATTERN")
+    ranks = (Path(folder) / vocabulary).read_bytes()
+    return zlib.crc32(ranks + pattern.encode()), pattern, ranks
+
+
+def _encoding(key: int, pattern: str, ranks: bytes):
+    """The byte-level tokenizer of a vocabulary; built once per Python worker."""
+    if key not in _encodings:
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_vocabularies", Path(folder) / "__init__.py")
-        package = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(package)
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=package.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    return _encodings[key]
 
 
 def count_tokens(pages: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, tokens`` of every page with a text; whole texts are encoded, an empty one has 0 tokens."""
+    """``doc_id, source, tokens`` of every page with a text; whole texts are encoded, an empty one has 0 tokens.
+
+    The vocabulary file is read on the driver and broadcast: it is as large as the vocabulary, under a megabyte here.
+    """
+    sent = pages.sparkSession.sparkContext.broadcast(_vocabulary(folder, vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(folder, vocabulary).encode_ordinary
+        encode = _encoding(*sent.value).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])

@@ -121,9 +121,10 @@ def balanced_bins(weighted: DataFrame, bins: int = BINS) -> DataFrame:
     pieces = 4 * max(64, int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranked = weighted.withColumn("piece", F.pmod(F.xxhash64("component"), F.lit(pieces)))
     cells = cut(ranked.groupBy("stratum", "weight", "piece").agg(F.count("*").alias("n")))
-    # Distinct weights grow at most as the square root of all records, so one window over the cells stays small.
-    heavy_first = Window.partitionBy("stratum").orderBy(F.desc("weight"), "piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("start", F.coalesce(F.sum("n").over(heavy_first), F.lit(0)))
+    # One row a weight for the order of weights, which grow at most as the square root of all records; one row a piece within each weight.
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    heavier = cells.groupBy("stratum", "weight").agg(F.sum("n").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(up_to(Window.partitionBy("stratum").orderBy(F.desc("weight")))), F.lit(0))).drop("n")
+    starts = cells.withColumn("own", F.coalesce(F.sum("n").over(up_to(Window.partitionBy("stratum", "weight").orderBy("piece"))), F.lit(0))).join(heavier, ["stratum", "weight"]).withColumn("start", F.col("own") + F.col("above")).drop("own", "above")
     inside = Window.partitionBy("stratum", "weight", "piece").orderBy("component")
     placed = ranked.withColumn("inner", F.row_number().over(inside) - 1).join(starts.drop("n"), ["stratum", "weight", "piece"])
     rank = F.col("start") + F.col("inner")

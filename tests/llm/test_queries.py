@@ -16,3 +16,9 @@ def test_found_cases_have_their_columns(spark):
     for name, want in columns.items():
         out = QUERIES[name](spark, str(FOLDER))
         assert out.columns == want and out.count() == out.distinct().count() > 0
+
+
+def test_no_peptide_or_protein_crosses_splits(spark):
+    rows = QUERIES["p2_two_keys"](spark, str(FOLDER)).collect()
+    assert len(rows) == 3 and all(r["n_peptides_elsewhere"] == 0 and r["n_proteins_elsewhere"] == 0 for r in rows)
+    assert sum(r["n_rows"] for r in rows) > 300

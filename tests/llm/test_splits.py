@@ -65,3 +65,12 @@ def test_allocation_moves_bins_to_their_targets():
     n = {k: sum(v == k for v in got.values()) for k in "xy"}
     assert n == {"x": 70, "y": 30} and sum(v == "y" and k[0] == 1 for k, v in got.items()) == 15
     assert allocate([], {"x": 1.0}) == {}
+
+
+def test_a_peptide_with_a_third_of_the_rows(spark):
+    """The hot peptide goes whole to one split, and the others fill up to their targets."""
+    rows = [(i, bool(i % 2), "HOT" if i % 3 == 0 else f"P{i % 900}", None, None) for i in range(9000)]
+    out = split_records(records(spark, rows), {"train": 0.6, "dev": 0.2, "test": 0.2}, ["peptide"]).toPandas()
+    shares = out.split.value_counts(normalize=True)
+    assert len(out) == 9000 and out.groupby("peptide").split.nunique().max() == 1
+    assert abs(shares["train"] - 0.6) < 0.02 and abs(shares["dev"] - 0.2) < 0.02

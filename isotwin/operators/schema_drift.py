@@ -9,11 +9,14 @@ converged scores. The row comparison is a Spark join and one aggregation; the gr
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,9 +247,9 @@ def agreement(left: DataFrame, right: DataFrame, key: str) -> Agreement:
     """For every pair of columns or fields the rows found in both files on which they agree, over the rows where both have a value.
 
     The keys that both files hold come first, from the key columns alone; only their rows are read, broadcast against if there are at most
-    ``FEW_KEYS``. A key stored several times counts once (by its least row). Then one equi-join on ``key`` and one aggregation with two or
-    three counts a pair; only these come back. Numbers agree within a thousandth. Types that never hold the same
-    quantity are not compared.
+    ``FEW_KEYS``. A key stored several times counts once (by its least row). Then one equi-join on ``key``, whose rows are compared a batch
+    at a time, and a sum of three counts a pair; only these come back. Numbers agree within a thousandth; NaN is no value. Types that
+    never hold the same quantity are not compared.
     """
     keys = [df.where(col(key).isNotNull()).select(col(key).alias("_key")).distinct() for df in (left, right)]
     shared = cut(keys[0].join(keys[1], "_key"))
@@ -255,30 +258,66 @@ def agreement(left: DataFrame, right: DataFrame, key: str) -> Agreement:
     for df, side in ((left, "l"), (right, "r")):
         df = df.join(F.broadcast(shared) if few else shared, col(key) == F.col("_key"), "left_semi")
         kinds = _leaves(df.schema)
-        values = [F.struct(*[c.alias(n) for n, c in zip("nts", _read(k, reduce(lambda c, f: c[f], p[1:], col(p[0]))))]).alias(f"{side}{i}") for i, (p, k) in enumerate(kinds.items())]
-        rows = df.select(col(key).alias("_key"), F.struct(*values).alias(side))
-        sides.append((kinds, rows.groupBy("_key").agg(F.min(side).alias(side))))
+        rows = df.select(col(key).alias("_key"), _read_all(kinds).alias(side))
+        sides.append((list(kinds.items()), rows.groupBy("_key").agg(F.min(side).alias(side))))
     (a, rows_a), (b, rows_b) = sides
-    both = rows_a.join(rows_b, "_key")
-    asked, counts = [], []
-    for (i, (p, ka)), (j, (q, kb)) in product(enumerate(a.items()), enumerate(b.items())):
+    asked = []
+    for (i, (p, ka)), (j, (q, kb)) in product(enumerate(a), enumerate(b)):
         way = _comparable(ka, kb)
-        if len(p) != len(q) or not way:
-            continue
-        x, y = f"l.l{i}", f"r.r{j}"
-        near = lambda u, v: f"coalesce(abs({u} - {v}) <= 1e-3 * greatest(abs({u}), abs({v}), 1e-9), false)"
-        has = lambda v, k: f"({v}.t is not null)" if way == "t" or isinstance(k, T.StringType) else f"({v}.n is not null)"
-        plain = " or ".join(([near(f"{x}.n", f"{y}.n")] if way != "t" else []) + ([f"coalesce({x}.t = {y}.t, false)"] if way != "n" else []))
-        counts += [f"count_if({plain}) as s{len(asked)}", f"count_if({has(x, ka)} and {has(y, kb)}) as n{len(asked)}"]
-        clocks = [isinstance(k, (T.StringType, T.FractionalType)) for k in (ka, kb)]
-        if all(clocks) and way in "nb" and isinstance(ka, T.StringType) | isinstance(kb, T.StringType):
-            one, two = f"coalesce({x}.s, {x}.n)", f"coalesce({y}.s, {y}.n)"
-            counts.append(f"count_if(({x}.s is not null or {y}.s is not null) and not ({plain}) and {near(one, two)}) as m{len(asked)}")
-        asked.append((p, q))
+        if len(p) == len(q) and way:
+            clocks = way in "nb" and all(isinstance(k, (T.StringType, T.FractionalType)) for k in (ka, kb)) and (isinstance(ka, T.StringType) or isinstance(kb, T.StringType))
+            asked.append((i, j, way, *("t" if way == "t" or isinstance(k, T.StringType) else "n" for k in (ka, kb)), clocks))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_columns(batch.column(side)) for side in ("l", "r"))
+            counts = [_agreeing(one(x[0]), two(x[1]), *x[2:]) for x in asked]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int64()), *[pa.array(c, pa.int64()) for c in zip(*counts)]], names=["pair", "same", "n", "times"])
+
     if not asked:
         return {}
-    row = both.selectExpr(*counts).first().asDict()
-    return {pair: (row[f"s{k}"] + row.get(f"m{k}", 0), row[f"n{k}"], row.get(f"m{k}", 0)) for k, pair in enumerate(asked) if row[f"n{k}"]}
+    sums = rows_a.join(rows_b, "_key").select("l", "r").mapInArrow(count, "pair bigint, same bigint, n bigint, times bigint").groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("same", "n", "times")])
+    return {(a[asked[r["pair"]][0]][0], b[asked[r["pair"]][1]][0]): (r["same"] + r["times"], r["n"], r["times"]) for r in sums.collect() if r["n"]}
+
+
+def _read_all(kinds: dict[Path, T.DataType]) -> Column:
+    """The columns of ``kinds``, each read by ``_read``, as one array in their order; all texts go through one expression."""
+    at = lambda p: reduce(lambda c, f: c[f], p[1:], col(p[0]))
+    read = lambda kind, c: F.struct(*[x.alias(n) for n, x in zip("nts", _read(kind, c))]).cast("struct<n:double,t:string,s:double>")
+    texts = [p for p, k in kinds.items() if isinstance(k, T.StringType)]
+    if not texts:
+        return F.array(*[read(k, at(p)) for p, k in kinds.items()])
+    made = F.transform(F.array(*[at(p) for p in texts]), lambda c: read(T.StringType(), c))
+    return let(made, lambda m: F.array(*[F.get(m, F.lit(texts.index(p))) if p in texts else read(k, at(p)) for p, k in kinds.items()]))
+
+
+def _columns(values: pa.ListArray) -> Callable[[int], dict]:
+    """For rows of equally many structs of ``_read``: a function that gives the i-th of all rows as arrays."""
+    flat, rows = values.flatten(), len(values)
+    wide = len(flat) // max(1, rows)
+    number, text, time = (pc.struct_field(flat, n) for n in "nts")
+    numbers, times = (x.to_numpy(zero_copy_only=False).astype(float).reshape(rows, wide) for x in (number, time))
+    return lambda i: {"n": numbers[:, i], "t": text.take(pa.array(np.arange(rows) * wide + i)), "s": times[:, i]}
+
+
+def _agreeing(x: dict, y: dict, way: str, has_x: str, has_y: str, clocks: bool) -> tuple[int, int, int]:
+    """Rows that agree as they stand, rows that have both values, rows that agree only if texts are read as times."""
+
+    def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            return (np.abs(u - v) <= 1e-3 * np.maximum(np.maximum(np.abs(u), np.abs(v)), 1e-9)) | (u == v)
+
+    has = [v["t"].is_valid().to_numpy(zero_copy_only=False) if h == "t" else ~np.isnan(v["n"]) for v, h in ((x, has_x), (y, has_y))]
+    plain = np.zeros(len(x["n"]), bool)
+    if way != "t":
+        plain |= near(x["n"], y["n"])
+    if way != "n":
+        plain |= pc.fill_null(pc.equal(x["t"], y["t"]), False).to_numpy(zero_copy_only=False)
+    late = np.zeros(0, bool)
+    if clocks:
+        one, two = (np.where(np.isnan(v["s"]), v["n"], v["s"]) for v in (x, y))
+        late = ~(np.isnan(x["s"]) & np.isnan(y["s"])) & ~plain & near(one, two)
+    return int(plain.sum()), int((has[0] & has[1]).sum()), int(late.sum())
 
 
 # --- the operator ----------------------------------------------------------------------------------

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from isotwin.operators.ordered import rank_within
+from isotwin.session import cut, small_side
 
-def window_of(bounds: Column, value: Column) -> Column:
-    """The window that ``value`` falls in: the number of lower bounds below it."""
-    return F.size(F.filter(bounds, lambda b: b < value))
+#: Targets of one spectrum that are matched in one place.
+HOT_TARGETS = 20_000
+
+def window_of(edges: Column, value: Column) -> Column:
+    """The window that ``value`` falls in: the number of lower bounds below it. ``edges`` as of ``cycle_edges``."""
+    return F.aggregate(F.filter(edges, lambda e: e["lower"] < value), F.lit(0), lambda n, e: n + e["n"].cast("int"))
 
 
 def within_ppm(mz: Column, theory: Column, tol: float | Column) -> Column:
@@ -27,37 +34,89 @@ def matched_intensity(mz: Column, intensity: Column, theory: Column, tol: float)
     return F.aggregate(peaks, F.lit(0.0), lambda s, p: s + p["i"].cast("double"))
 
 
-def matched_intensities(mz: Column, intensity: Column, theories: Column, tol: float) -> Column:
-    """``matched_intensity`` for each of an array of ``theories``, as ``array<double>``; a null one gives 0.
+def matched_intensities(targets: DataFrame, spectra: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """For each row of ``targets`` the summed intensity of its spectrum's peaks within ``tol`` ppm of each of its masses.
 
-    For many masses per spectrum: the peaks of a whole Arrow batch are brought in order, unless they are, and all masses find theirs by
-    one binary search.
-    """
+    ``targets``: ``keys, masses`` (``array<double>``) and whatever else is to come back; ``spectra``: ``keys, mz, intensity``, found by equal
+    ``keys``. Out come the columns of ``targets`` but ``masses``, ``found`` (``array<double>``, a null or unmatched mass gives 0) and ``total``, the
+    spectrum's whole intensity. A spectrum stored twice counts once; a target without a spectrum is left out; a null intensity counts 0.
 
-    def match(mzs: pa.Array, intensities: pa.Array, asked: pa.Array) -> pa.Array:
-        row, peaks = _flat(mzs)
-        order = np.arange(len(peaks))
-        # One number line for all rows of the batch: each row's masses have a stretch of their own.
-        target_row, masses = _flat(asked)
-        stretch = 2 * max(1.0, np.nanmax(peaks, initial=0.0), np.nanmax(np.abs(masses), initial=0.0))
-        line = row * stretch + peaks
-        if len(line) and np.any(np.diff(line) < 0):
-            order = np.argsort(line, kind="stable")
-            line = line[order]
-        reach = np.abs(masses) * (tol * 1e-6) * (1 + 1e-9) + 1e-9 + len(mzs) * stretch * 1e-15
-        at = target_row * stretch + masses
-        low, high = np.searchsorted(line, at - reach), np.searchsorted(line, at + reach, side="right")
-        some = np.flatnonzero(high > low)
-        times = (high - low)[some]
-        which = np.repeat(some, times)
-        near = order[np.repeat(low[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        _, values = _flat(intensities)
-        inside = (np.abs((peaks[near] - masses[which]) / masses[which] * 1e6) <= tol) & (row[near] == target_row[which])
-        found = np.bincount(which[inside], values[near[inside]], len(masses))
-        lengths = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(found))
-
-    return F.arrow_udf(match, "array<double>")(mz, intensity, theories)
+    Scale: both sides are shuffled once by ``keys`` and meet in order, each spectrum before its targets, so peaks are neither joined to nor
+    copied for every target, and no group is gathered: a task holds a batch of rows. A spectrum with more than ``HOT_TARGETS`` targets is sent to as
+    many places as it takes.
+    """
+    hot = targets.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_TARGETS).select(*keys, F.ceil(F.col("_n") / HOT_TARGETS).cast("int").alias("_places"))
+    hot = small_side(cut(hot))
+    rest = [c for c in targets.columns if c != "masses"]
+    kinds = {f.name: f.dataType for f in targets.schema}
+    one = F.coalesce("_places", F.lit(1))
+    peaks = spectra.join(hot, keys, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), one - 1))).select(*keys, "_place", F.lit(False).alias("_asks"), "mz", "intensity", F.lit(None).cast("array<double>").alias("masses"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest if c not in keys])
+    place = F.pmod(F.xxhash64(*[c for c in rest if c not in keys]), one).cast("int")
+    asks = targets.join(hot, keys, "left").select(*keys, place.alias("_place"), F.lit(True).alias("_asks"), *[F.lit(None).cast(spectra.schema[c].dataType).alias(c) for c in ("mz", "intensity")], "masses", *[c for c in rest if c not in keys])
+    order = [*keys, "_place"]
+    line = peaks.unionByName(asks).repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order, "_asks")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mz = intensity = owner = None
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                batch = whole.slice(k, 2048)
+                asks = batch.column("_asks").to_numpy(zero_copy_only=False)
+                some = pa.array(np.flatnonzero(~asks))
+                held = [batch.column(c).take(some) for c in ("mz", "intensity")]
+                owners = pa.RecordBatch.from_arrays([batch.column(c).take(some) for c in order], names=order)
+                if mz is not None:
+                    # The spectrum that the batch before ended with goes on.
+                    held = [pa.concat_arrays(x) for x in zip((mz, intensity), held)]
+                    owners = pa.Table.from_batches([owner, owners]).combine_chunks().to_batches()[0]
+                # Each target's spectrum is the last one before it, if it is of its keys.
+                spectrum = (np.cumsum(~asks) - (mz is None))[asks]
+                rows = batch.take(pa.array(np.flatnonzero(asks)))
+                if owners.num_rows:
+                    at = pa.array(np.maximum(spectrum, 0))
+                    same = spectrum >= 0
+                    for c in order:
+                        same &= pc.fill_null(pc.equal(owners.column(c).take(at), rows.column(c)), False).to_numpy(zero_copy_only=False)
+                    kept = pa.array(np.flatnonzero(same))
+                    rows, spectrum = rows.take(kept), spectrum[same]
+                    if rows.num_rows:
+                        found, total = _matched(*held, rows.column("masses"), spectrum, tol)
+                        yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rest], found, pa.array(total[spectrum])], names=[*rest, "found", "total"])
+                    mz, intensity, owner = held[0][-1:], held[1][-1:], owners.slice(owners.num_rows - 1)
+
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in rest], T.StructField("found", T.ArrayType(T.DoubleType())), T.StructField("total", T.DoubleType())])
+    return line.mapInArrow(match, schema)
+
+
+def _matched(mzs: pa.Array, intensities: pa.Array, asked: pa.Array, spectrum: np.ndarray, tol: float) -> tuple[pa.Array, np.ndarray]:
+    """The intensities of the peaks near each asked mass, a list for each row of ``asked`` (of that number of ``mzs``), and the spectra's totals.
+
+    The peaks of all spectra are brought in order, unless they are, and all masses find theirs by one binary search.
+    """
+    row, peaks = _flat(mzs)
+    value_row, values = _flat(intensities)
+    values = np.nan_to_num(values)
+    total = np.bincount(value_row, values, len(mzs))
+    order = np.arange(len(peaks))
+    # One number line for all spectra: each one's masses have a stretch of their own.
+    target_row, masses = _flat(asked)
+    target_row = spectrum[target_row]
+    stretch = 2 * max(1.0, np.nanmax(peaks, initial=0.0), np.nanmax(np.abs(masses), initial=0.0))
+    line = row * stretch + peaks
+    if len(line) and not np.all(np.diff(line) >= 0):
+        order = np.argsort(line, kind="stable")
+        line = line[order]
+    reach = np.abs(masses) * (tol * 1e-6) * (1 + 1e-9) + 1e-9 + len(mzs) * stretch * 1e-15
+    at = target_row * stretch + masses
+    low, high = np.searchsorted(line, at - reach), np.searchsorted(line, at + reach, side="right")
+    some = np.flatnonzero(high > low)
+    times = (high - low)[some]
+    which = np.repeat(some, times)
+    near = order[np.repeat(low[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    inside = (np.abs((peaks[near] - masses[which]) / masses[which] * 1e6) <= tol) & (row[near] == target_row[which])
+    found = np.bincount(which[inside], values[near[inside]], len(masses))
+    lengths = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(found)), total
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +151,22 @@ def _first_cycle(spectra: DataFrame) -> DataFrame:
 
 
 def cycle_bounds(spectra: DataFrame) -> DataFrame:
-    """``raw_title, bounds``: the lower bounds of the spectra strictly between a run's first and second MS1, in file order.
+    """``raw_title, place, lower``: the lower bounds of the spectra strictly between a run's first and second MS1, from place 0 in file order.
 
     MS1 are the spectra whose ``precursor_scan_id`` is -1. With one MS1 the cycle lasts to the run's end; a run without MS1, or
-    without spectra in its first cycle, gives no row. What is gathered per run is one cycle.
+    without spectra in its first cycle, gives no row. A spectrum stored twice counts once. Rows stay rows, ranked in pieces of a run.
+    """
+    inside = _first_cycle(spectra).select("raw_title", F.col("spec_idx").cast("bigint").alias("spec_idx"), F.col("iso_lower").cast("double").alias("lower")).distinct()
+    return rank_within(inside, ["raw_title"], "spec_idx", 4096, "place").select("raw_title", "place", "lower")
+
+
+def cycle_edges(spectra: DataFrame) -> DataFrame:
+    """``raw_title, edges``: the distinct lower bounds of a run's first cycle (``cycle_bounds``) with how many spectra have each, ascending.
+
+    Counted before anything is gathered, so what comes together for a run is its window scheme, however many spectra its cycle has.
     """
-    inside = _first_cycle(spectra)
-    rows = inside.groupBy("raw_title").agg(F.array_sort(F.collect_set(F.struct("spec_idx", "iso_lower"))).alias("rows"))
-    return rows.select("raw_title", F.transform("rows", lambda r: r["iso_lower"].cast("double")).alias("bounds"))
+    inside = _first_cycle(spectra).select("raw_title", "spec_idx", F.col("iso_lower").cast("double").alias("lower")).distinct()
+    return inside.groupBy("raw_title", "lower").agg(F.count("*").alias("n")).groupBy("raw_title").agg(F.array_sort(F.collect_list(F.struct("lower", "n"))).alias("edges"))
 
 
 def cycle_range(spectra: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isotwin.functions import chem
 from isotwin.functions.times import run_stem
 from isotwin.operators import traces
-from isotwin.operators.matching import cycle_bounds, cycle_range, fragment_range, matched_intensity, ppm_join, window_of
+from isotwin.operators.matching import cycle_bounds, cycle_edges, cycle_range, fragment_range, matched_intensity, ppm_join, window_of
 from isotwin.operators.ordered import nearest, neighbour_ranks, parents, rank_within
 from isotwin.plans.pair_flow import CHUNK_MINUTES, CHUNK_ROWS, pair_features
 from isotwin.session import col, cut, read_table, small_side
@@ -235,7 +235,7 @@ _BOUNDS = f"""{_SPECTRA}, i1 AS (SELECT raw_title, min(spec_idx) AS i1 FROM s WH
 
 @query(f"WITH {_BOUNDS} SELECT raw_title, CAST(row_number() OVER (PARTITION BY raw_title ORDER BY spec_idx) - 1 AS INT) AS place, lower FROM b")
 def cycle_windows(spark: SparkSession, d: str) -> DataFrame:
-    return cycle_bounds(_spectra(spark, d)).select("raw_title", F.posexplode("bounds").alias("place", "lower"))
+    return cycle_bounds(_spectra(spark, d)).withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"WITH {_BOUNDS}, h AS (SELECT raw_title, CAST(min(lo) AS DOUBLE) AS low, CAST(max(hi) FILTER (WHERE NOT isnan(hi)) AS DOUBLE) AS high FROM s JOIN i2 USING (raw_title) WHERE spec_idx > i1 AND (i2 IS NULL OR spec_idx < i2) AND lo IS NOT NULL AND NOT isnan(lo) GROUP BY raw_title) SELECT * FROM h")
@@ -251,8 +251,8 @@ def fragment_limits(spark: SparkSession, d: str) -> DataFrame:
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     slim = _spectra(spark, d)
     center = (F.col("iso_lower").cast("double") + F.col("iso_upper").cast("double")) / 2
-    win = F.when(F.col("precursor_scan_id") == -1, F.lit(-1)).otherwise(window_of(F.col("bounds"), center))
-    slim = slim.join(small_side(cycle_bounds(slim)), "raw_title").withColumn("win", win).where("win >= 0 and not isnan(iso_lower) or win = -1").drop("bounds")
+    win = F.when(F.col("precursor_scan_id") == -1, F.lit(-1)).otherwise(window_of(F.col("edges"), center))
+    slim = slim.join(small_side(cycle_edges(slim)), "raw_title").withColumn("win", win).where("win >= 0 and not isnan(iso_lower) or win = -1").drop("edges")
     return rank_within(slim, ["raw_title", "win"], "spec_idx", CHUNK_ROWS)
 
 
@@ -271,8 +271,8 @@ def window_ranks(spark: SparkSession, d: str) -> DataFrame:
           SELECT psm_id, CAST(count(b.lower) FILTER (WHERE b.lower < mz) AS INT) AS light_win, count(b.lower) FILTER (WHERE b.lower < mz) = count(b.lower) FILTER (WHERE b.lower < hmz) AS same_window FROM h JOIN b USING (raw_title) GROUP BY psm_id""")
 def same_window(spark: SparkSession, d: str) -> DataFrame:
     psms = positional_report(read_table(spark, d, "diann_report")).where("precursor_mz is not null and not isnan(precursor_mz) and sequence is not null").withColumn("raw_title", run_stem("raw_title"))
-    placed = psms.join(small_side(cycle_bounds(_spectra(spark, d))), "raw_title")
-    light, heavy = window_of(F.col("bounds"), F.col("precursor_mz")), window_of(F.col("bounds"), chem.heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence")))
+    placed = psms.join(small_side(cycle_edges(_spectra(spark, d))), "raw_title")
+    light, heavy = window_of(F.col("edges"), F.col("precursor_mz")), window_of(F.col("edges"), chem.heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence")))
     return placed.select("psm_id", light.alias("light_win"), (light == heavy).alias("same_window"))
 
 
@@ -302,9 +302,9 @@ def nearest_scan(spark: SparkSession, d: str) -> DataFrame:
 def window_nearest(spark: SparkSession, d: str) -> DataFrame:
     """For each match the spectrum of its run and window that is nearest in time, by its rank in the window."""
     slim = _spectra(spark, d)
-    bounds = cycle_bounds(slim)
+    edges = cycle_edges(slim)
     psms = read_table(spark, d, "diann_report").select(F.col("psm_id").alias("probe_id"), run_stem(F.col("Run")).alias("raw_title"), F.col("RT").alias("time"), col("Precursor.Mz").cast("double").alias("mz")).where("mz is not null and not isnan(mz)")
-    probes = psms.join(small_side(bounds), "raw_title").select("probe_id", "raw_title", "time", window_of(F.col("bounds"), F.col("mz")).cast("int").alias("win"))
+    probes = psms.join(small_side(edges), "raw_title").select("probe_id", "raw_title", "time", window_of(F.col("edges"), F.col("mz")).cast("int").alias("win"))
     points = _ranked(spark, d).where("rt > 0").select("raw_title", F.col("win").cast("int").alias("win"), "rank", F.col("rt").cast("double").alias("time"))
     return nearest(probes, points, ["raw_title", "win"], CHUNK_MINUTES).select(F.col("probe_id").alias("psm_id"), "rank")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotwin.functions.chem import fragments, heavy_mz, ion_mz
-from isotwin.operators.matching import cycle_bounds, matched_intensities, window_of
+from isotwin.operators.matching import cycle_edges, matched_intensities, window_of
 from isotwin.operators.ordered import nearest, neighbour_ranks, rank_within
 from isotwin.operators.traces import summary, trace_score
 from isotwin.schemas import FEATURE_COLUMNS
@@ -26,22 +26,22 @@ def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, ha
     one nearest in time. A PSM without time, mass or spectra near it has empty traces, hence zeros. Peptides with an X are left
     out. Spectra stored twice count once. ``label`` and ``site_mode``: see ``functions.chem``.
 
-    Scale: ranks, windows and neighbours are found on rows without peaks; peaks are shuffled once, to be matched in place, and
-    come out as a number per fragment. No step gathers a run.
+    Scale: ranks, windows and neighbours are found on rows without peaks; peaks are shuffled once and go to
+    Python once a spectrum, to come out as a number per fragment. No step gathers a run.
     """
     runs = spectra.select("raw_title").distinct()
     psms = psms.where("sequence is not null").where(~F.col("sequence").contains("X")).join(small_side(runs), "raw_title", "left_semi")
-    bounds = cycle_bounds(spectra)
+    edges = cut(cycle_edges(spectra))
     slim = spectra.select("raw_title", "spec_idx", "rt", "iso_lower", "iso_upper", "precursor_scan_id").dropDuplicates(["raw_title", "spec_idx"])
-    slim = slim.join(small_side(bounds), "raw_title", "left")
+    slim = slim.join(small_side(edges), "raw_title", "left")
     center = (F.col("iso_lower") + F.col("iso_upper")).cast("double") / 2
-    win = F.when(F.col("precursor_scan_id") == -1, F.lit(-1)).otherwise(window_of(F.col("bounds"), center))
-    slim = cut(rank_within(slim.withColumn("win", win).where("win is not null and not (win >= 0 and (iso_lower is null or isnan(iso_lower)))").drop("bounds"), ["raw_title", "win"], "spec_idx", CHUNK_ROWS))
+    win = F.when(F.col("precursor_scan_id") == -1, F.lit(-1)).otherwise(window_of(F.col("edges"), center))
+    slim = cut(rank_within(slim.withColumn("win", win).where("win is not null and not (win >= 0 and (iso_lower is null or isnan(iso_lower)))").drop("edges"), ["raw_title", "win"], "spec_idx", CHUNK_ROWS))
 
     heavy = heavy_mz(F.col("precursor_mz"), F.col("charge"), F.col("sequence"), label)
     # Spread before the masses are reckoned: a report may come in few large pieces.
-    psm = psms.repartition(int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions")), "psm_id").join(small_side(bounds), "raw_title", "left").withColumn("heavy_mz", heavy)
-    psm = psm.withColumn("win_l", window_of(F.col("bounds"), F.col("precursor_mz"))).withColumn("win_h", window_of(F.col("bounds"), F.col("heavy_mz"))).drop("bounds")
+    psm = psms.repartition(int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions")), "psm_id").join(small_side(edges), "raw_title", "left").withColumn("heavy_mz", heavy)
+    psm = psm.withColumn("win_l", window_of(F.col("edges"), F.col("precursor_mz"))).withColumn("win_h", window_of(F.col("edges"), F.col("heavy_mz"))).drop("edges")
     ions = F.filter(fragments(F.col("sequence"), F.col("mods"), label, site_mode), lambda f: ~F.coalesce((F.abs(f["heavy"] - f["light"]) < UNMOVED) & (F.col("win_l") == F.col("win_h")), F.lit(False)))
     psm = cut(psm.withColumn("ions", ions))
 
@@ -55,13 +55,9 @@ def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, ha
     # Per fragment the masses at charge 1 and 2, one after the other.
     charged = lambda name: F.flatten(F.transform("ions", lambda f: F.transform(F.array(F.lit(1), F.lit(2)), lambda z: ion_mz(f[name], z))))
     psm = psm.withColumn("masses", F.array(F.array("precursor_mz", "heavy_mz"), charged("light"), charged("heavy")))
-    targets = F.get("masses", F.col("kind"))
-    asked = used.select("psm_id", "raw_title", "kind", "spec_idx", "spec_rt").join(psm.select("psm_id", "masses"), "psm_id").select("psm_id", "raw_title", "kind", "spec_idx", "spec_rt", targets.alias("targets"))
-    peaks = spectra.select("raw_title", "spec_idx", "mz", "intensity").dropDuplicates(["raw_title", "spec_idx"])
-    seen = asked.join(peaks, ["raw_title", "spec_idx"])
-    found = matched_intensities(F.col("mz"), F.col("intensity"), F.col("targets"), tol_ppm)
-    total = F.aggregate("intensity", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    points = seen.select("psm_id", "kind", "spec_idx", F.col("spec_rt").cast("double").alias("rt"), found.alias("found"), total.alias("total"))
+    targets = used.select("psm_id", "raw_title", "kind", "spec_idx", F.col("spec_rt").cast("double").alias("rt"))
+    asked = targets.join(psm.select("psm_id", "masses"), "psm_id").withColumn("masses", F.get("masses", F.col("kind")))
+    points = matched_intensities(asked, spectra.select("raw_title", "spec_idx", "mz", "intensity").join(small_side(psms.select("raw_title").distinct()), "raw_title", "left_semi"), ["raw_title", "spec_idx"], tol_ppm)
     # At most 2 * half_width + 1 points per PSM and kind.
     traces = points.groupBy("psm_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("spec_idx", "rt", "found", "total")))).alias(n) for k, n in ((MS1, "ms1"), (LIGHT, "l"), (HEAVY, "h"))])
     wide = cut(psm.select("psm_id", "ions").join(traces, "psm_id", "left"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isotwin.config import read_job
 from isotwin.functions import chem
 from isotwin.operators import traces
-from isotwin.operators.matching import cycle_bounds, matched_intensity, ppm_join, window_of
+from isotwin.operators.matching import cycle_bounds, cycle_edges, matched_intensities, matched_intensity, ppm_join, window_of
 from isotwin.operators.ordered import nearest, neighbour_ranks, parents, rank_within
 from isotwin.schemas import FEATURE_COLUMNS
 from isotwin.sources.mzml import read_mzml, scan_number
@@ -40,8 +40,8 @@ def test_masses(spark):
 
 
 def test_windows_and_peaks(spark):
-    bounds = F.array(*map(F.lit, (400.0, 410.0, 420.0)))
-    assert [one(spark, window_of(bounds, F.lit(v))) for v in (399.0, 400.0, 400.5, 410.0, 410.1, 421.0)] == [0, 0, 1, 1, 2, 3]
+    edges = F.array(*[F.struct(F.lit(x).alias("lower"), F.lit(n).alias("n")) for x, n in ((400.0, 1), (410.0, 1), (420.0, 2))])
+    assert [one(spark, window_of(edges, F.lit(v))) for v in (399.0, 400.0, 400.5, 410.0, 410.1, 421.0)] == [0, 0, 1, 1, 2, 4]
     mz, intensity = F.array(*map(F.lit, (499.99, 499.996, 500.0, 500.004, 500.02))), F.array(*map(F.lit, (1.0, 2.0, 4.0, 8.0, 16.0)))
     assert one(spark, matched_intensity(mz, intensity, F.lit(500.0), 10.0)) == 14.0
     assert one(spark, matched_intensity(mz, intensity, F.lit(600.0), 10.0)) == 0.0
@@ -102,8 +102,38 @@ def test_scores_and_summaries(spark):
 
 def test_cycle(spark):
     rows = [("a", 0, -1, None), ("a", 1, 1, 400.0), ("a", 2, 1, 410.0), ("a", 3, -1, None), ("a", 4, 2, 400.0), ("b", 0, -1, None), ("b", 1, 1, 7.0), ("c", 0, 5, 1.0)]
-    got = cycle_bounds(spark.createDataFrame(rows, "raw_title string, spec_idx int, precursor_scan_id bigint, iso_lower float"))
-    assert {r["raw_title"]: r["bounds"] for r in got.collect()} == {"a": [400.0, 410.0], "b": [7.0]}
+    # A run with one MS1: its cycle lasts to the end, its windows come again and again, and a spectrum is stored twice.
+    rows += [("d", 0, -1, None)] + [("d", i + 1, 1, 500.0 - 10 * (i % 3)) for i in range(5000)] + [("d", 2, 1, 490.0)]
+    spectra = spark.createDataFrame(rows, "raw_title string, spec_idx int, precursor_scan_id bigint, iso_lower float")
+    got = {k: [x["lower"] for x in cycle_bounds(spectra).where(F.col("raw_title") == k).orderBy("place").collect()] for k in "abcd"}
+    assert got == {"a": [400.0, 410.0], "b": [7.0], "c": [], "d": [500.0 - 10 * (i % 3) for i in range(5000)]}
+    edges = {r["raw_title"]: [tuple(e) for e in r["edges"]] for r in cycle_edges(spectra).collect()}
+    assert edges == {"a": [(400.0, 1), (410.0, 1)], "b": [(7.0, 1)], "d": [(480.0, 1666), (490.0, 1667), (500.0, 1667)]}
+
+
+def test_peaks_of_many_targets(spark, monkeypatch):
+    """Against brute force: a spectrum with most of the targets, stored twice, peaks out of order, nulls, no peaks, no spectrum."""
+    from isotwin.operators import matching
+
+    monkeypatch.setattr(matching, "HOT_TARGETS", 500)
+    rng = np.random.default_rng(7)
+    spectra = {("a", i): (rng.permutation(np.round(rng.uniform(400, 401, 40), 3)).tolist(), rng.uniform(1, 9, 40).tolist()) for i in range(6)}
+    spectra["a", 4] = ([], [])
+    spectra["b", 0] = ([400.5, 400.5, 400.7], [1.0, None, 2.0])
+    rows = [(r, i, m, n) for (r, i), (m, n) in spectra.items()]
+    asked = [(k, "a" if k % 5 else "b", 2 if k % 3 else k % 8, None if k % 97 == 0 else [None if k % 7 == 0 else float(x) for x in np.round(rng.uniform(400, 401, 3), 3)]) for k in range(6000)]
+    targets = spark.createDataFrame(asked, "id bigint, run string, idx int, masses array<double>")
+    got = matching.matched_intensities(targets, spark.createDataFrame(rows + rows[:3], "run string, idx int, mz array<double>, intensity array<double>"), ["run", "idx"], 10.0)
+    assert got.columns == ["id", "run", "idx", "found", "total"]
+    got = {r["id"]: (r["found"], r["total"]) for r in got.collect()}
+    want = {k: (m, spectra[run, idx]) for k, run, idx, m in asked if (run, idx) in spectra}
+    assert set(got) == set(want) and len(want) < len(asked)
+    for k, (masses, (mz, intensity)) in want.items():
+        intensity = np.array([x or 0.0 for x in intensity])
+        near = lambda m: 0.0 if m is None or not len(mz) else float(intensity[np.abs((np.array(mz) - m) / m * 1e6) <= 10].sum())
+        assert np.allclose(got[k][0], [near(m) for m in masses or []]) and abs(got[k][1] - intensity.sum()) < 1e-9
+    none = targets.limit(0)
+    assert matched_intensities(none, spark.createDataFrame(rows, "run string, idx int, mz array<double>, intensity array<double>"), ["run", "idx"], 10.0).count() == 0
 
 
 def mzml(path, spectra):

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isotwin.operators.ordered import rank_within
-from isotwin.session import cut, small_side
+from isotwin.session import cut
 
 #: Targets of one spectrum that are matched in one place.
 HOT_TARGETS = 20_000
+#: Spectra with more that are broadcast.
+FEW_HOT = 100_000
 
 def window_of(edges: Column, value: Column) -> Column:
     """The window that ``value`` falls in: the number of lower bounds below it. ``edges`` as of ``cycle_edges``."""
@@ -34,7 +36,7 @@ def matched_intensity(mz: Column, intensity: Column, theory: Column, tol: float)
     return F.aggregate(peaks, F.lit(0.0), lambda s, p: s + p["i"].cast("double"))
 
 
-def matched_intensities(targets: DataFrame, spectra: DataFrame, keys: list[str], tol: float) -> DataFrame:
+def matched_intensities(targets: DataFrame, spectra: DataFrame, keys: list[str], tol: float, slim: DataFrame | None = None) -> DataFrame:
     """For each row of ``targets`` the summed intensity of its spectrum's peaks within ``tol`` ppm of each of its masses.
 
     ``targets``: ``keys, masses`` (``array<double>``) and whatever else is to come back; ``spectra``: ``keys, mz, intensity``, found by equal
@@ -43,10 +45,12 @@ def matched_intensities(targets: DataFrame, spectra: DataFrame, keys: list[str],
 
     Scale: both sides are shuffled once by ``keys`` and meet in order, each spectrum before its targets, so peaks are neither joined to nor
     copied for every target, and no group is gathered: a task holds a batch of rows. A spectrum with more than ``HOT_TARGETS`` targets is sent to as
-    many places as it takes.
+    many places as it takes; ``slim`` may give the ``keys`` of the rows of ``targets`` for this count, where they are cheaper to have.
     """
-    hot = targets.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_TARGETS).select(*keys, F.ceil(F.col("_n") / HOT_TARGETS).cast("int").alias("_places"))
-    hot = small_side(cut(hot))
+    hot = (targets if slim is None else slim).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_TARGETS).select(*keys, F.ceil(F.col("_n") / HOT_TARGETS).cast("int").alias("_places"))
+    hot = cut(hot)
+    if hot.count() <= FEW_HOT:
+        hot = F.broadcast(hot)
     rest = [c for c in targets.columns if c != "masses"]
     kinds = {f.name: f.dataType for f in targets.schema}
     one = F.coalesce("_places", F.lit(1))
@@ -96,7 +100,8 @@ def _matched(mzs: pa.Array, intensities: pa.Array, asked: pa.Array, spectrum: np
     row, peaks = _flat(mzs)
     value_row, values = _flat(intensities)
     values = np.nan_to_num(values)
-    total = np.bincount(value_row, values, len(mzs))
+    # Of nothing at all bincount makes whole numbers.
+    total = np.bincount(value_row, values, len(mzs)).astype(float)
     order = np.arange(len(peaks))
     # One number line for all spectra: each one's masses have a stretch of their own.
     target_row, masses = _flat(asked)
@@ -114,7 +119,7 @@ def _matched(mzs: pa.Array, intensities: pa.Array, asked: pa.Array, spectrum: np
     which = np.repeat(some, times)
     near = order[np.repeat(low[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
     inside = (np.abs((peaks[near] - masses[which]) / masses[which] * 1e6) <= tol) & (row[near] == target_row[which])
-    found = np.bincount(which[inside], values[near[inside]], len(masses))
+    found = np.bincount(which[inside], values[near[inside]], len(masses)).astype(float)
     lengths = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(found)), total
 

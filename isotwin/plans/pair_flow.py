@@ -55,9 +55,9 @@ def pair_features(psms: DataFrame, spectra: DataFrame, tol_ppm: float = 10.0, ha
     # Per fragment the masses at charge 1 and 2, one after the other.
     charged = lambda name: F.flatten(F.transform("ions", lambda f: F.transform(F.array(F.lit(1), F.lit(2)), lambda z: ion_mz(f[name], z))))
     psm = psm.withColumn("masses", F.array(F.array("precursor_mz", "heavy_mz"), charged("light"), charged("heavy")))
-    targets = used.select("psm_id", "raw_title", "kind", "spec_idx", F.col("spec_rt").cast("double").alias("rt"))
+    targets = cut(used.select("psm_id", "raw_title", "kind", "spec_idx", F.col("spec_rt").cast("double").alias("rt")))
     asked = targets.join(psm.select("psm_id", "masses"), "psm_id").withColumn("masses", F.get("masses", F.col("kind")))
-    points = matched_intensities(asked, spectra.select("raw_title", "spec_idx", "mz", "intensity").join(small_side(psms.select("raw_title").distinct()), "raw_title", "left_semi"), ["raw_title", "spec_idx"], tol_ppm)
+    points = matched_intensities(asked, spectra.select("raw_title", "spec_idx", "mz", "intensity").join(small_side(psms.select("raw_title").distinct()), "raw_title", "left_semi"), ["raw_title", "spec_idx"], tol_ppm, targets)
     # At most 2 * half_width + 1 points per PSM and kind.
     traces = points.groupBy("psm_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("spec_idx", "rt", "found", "total")))).alias(n) for k, n in ((MS1, "ms1"), (LIGHT, "l"), (HEAVY, "h"))])
     wide = cut(psm.select("psm_id", "ions").join(traces, "psm_id", "left"))

@@ -132,6 +132,8 @@ def test_peaks_of_many_targets(spark, monkeypatch):
         intensity = np.array([x or 0.0 for x in intensity])
         near = lambda m: 0.0 if m is None or not len(mz) else float(intensity[np.abs((np.array(mz) - m) / m * 1e6) <= 10].sum())
         assert np.allclose(got[k][0], [near(m) for m in masses or []]) and abs(got[k][1] - intensity.sum()) < 1e-9
+    far = matching.matched_intensities(targets.withColumn("masses", F.transform("masses", lambda m: m + 900)), spark.createDataFrame(rows, "run string, idx int, mz array<double>, intensity array<double>"), ["run", "idx"], 10.0)
+    assert far.where(F.exists("found", lambda x: x != 0)).count() == 0 and far.count() == len(want)
     none = targets.limit(0)
     assert matched_intensities(none, spark.createDataFrame(rows, "run string, idx int, mz array<double>, intensity array<double>"), ["run", "idx"], 10.0).count() == 0
 

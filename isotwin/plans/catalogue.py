@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isotwin.functions import chem
 from isotwin.functions.times import run_stem
 from isotwin.operators import traces
-from isotwin.operators.matching import cycle_bounds, cycle_edges, cycle_range, fragment_range, matched_intensity, ppm_join, window_of
+from isotwin.operators.matching import cycle_bounds, cycle_edges, cycle_range, fragment_range, matched_intensities, matched_intensity, ppm_join, window_of
 from isotwin.operators.ordered import nearest, neighbour_ranks, parents, rank_within
 from isotwin.plans.pair_flow import CHUNK_MINUTES, CHUNK_ROWS, pair_features
 from isotwin.session import col, cut, read_table, small_side
@@ -337,6 +337,16 @@ def isolation_filter(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("raw_title", (F.col("iso_upper") - F.col("iso_lower")).cast("double").alias("width")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_SPECTRA} SELECT psm_id, CAST(count(s.spec_idx) AS BIGINT) AS n_spectra, CAST(min(s.lo) AS DOUBLE) AS low, CAST(max(s.hi) AS DOUBLE) AS high FROM (SELECT psm_id, {_STEM} AS raw_title, CAST("Precursor.Mz" AS FLOAT) AS mz FROM diann_report WHERE "Precursor.Mz" IS NOT NULL AND NOT isnan("Precursor.Mz")) m
+          JOIN s ON s.raw_title = m.raw_title AND s.lo <= mz AND mz <= s.hi AND NOT isnan(s.hi) AND NOT isnan(s.lo) GROUP BY psm_id""")
+def isolation_matches(spark: SparkSession, d: str) -> DataFrame:
+    """For each match how many spectra of its run isolate its precursor, and the reach of their windows; spectra are counted by window first."""
+    windows = _spectra(spark, d).where("not isnan(iso_lower) and not isnan(iso_upper)").groupBy("raw_title", "iso_lower", "iso_upper").agg(F.count("*").alias("n"))
+    psms = read_table(spark, d, "diann_report").select("psm_id", run_stem(F.col("Run")).alias("raw_title"), col("Precursor.Mz").cast("float").alias("mz")).where("not isnan(mz)")
+    held = psms.join(windows, "raw_title").where("iso_lower <= mz and mz <= iso_upper")
+    return held.groupBy("psm_id").agg(F.sum("n").alias("n_spectra"), F.min("iso_lower").cast("double").alias("low"), F.max("iso_upper").cast("double").alias("high"))
+
+
 _PEAKS = "u AS (SELECT DISTINCT raw_title, spec_idx, mz, intensity FROM spectrum_df)"
 
 
@@ -370,6 +380,21 @@ def peak_filter(spark: SparkSession, d: str) -> DataFrame:
     return _peaks(spark, d).where(some).select("raw_title", "spec_idx", F.round(inside, 2).alias("inside"))
 
 
+_NEAREST_MS1 = f"""{_SPECTRA}, {_PROBES}, q AS (SELECT psm_id, raw_title, spec_idx, row_number() OVER (PARTITION BY psm_id ORDER BY abs(s.rt - t), s.rt, CASE WHEN s.rt < t THEN -spec_idx ELSE spec_idx END) AS k FROM p JOIN s USING (raw_title) WHERE precursor_scan_id = -1 AND s.rt > 0),
+    c AS (SELECT psm_id, q.raw_title, q.spec_idx, "Precursor.Mz" AS mz FROM q JOIN diann_report USING (psm_id) WHERE k = 1)"""
+
+
+@query(f"""WITH {_NEAREST_MS1}, {_PEAKS}, e AS (SELECT raw_title, spec_idx, unnest(mz) AS m, unnest(intensity) AS i FROM u), t AS (SELECT raw_title, spec_idx, sum(CAST(i AS DOUBLE)) AS total FROM e GROUP BY ALL)
+          SELECT psm_id, c.spec_idx, round(coalesce(sum(CAST(i AS DOUBLE)), 0), 2) AS inside, round(coalesce(any_value(total), 0), 2) AS total
+          FROM c LEFT JOIN t USING (raw_title, spec_idx) LEFT JOIN e ON e.raw_title = c.raw_title AND e.spec_idx = c.spec_idx AND abs((CAST(m AS DOUBLE) - mz) / mz * 1e6) <= 10 GROUP BY psm_id, c.spec_idx""")
+def precursor_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """For each match the intensity within 10 ppm of its precursor in the MS1 spectrum nearest in time, and that spectrum's whole intensity."""
+    report = read_table(spark, d, "diann_report").select("psm_id", run_stem(F.col("Run")).alias("raw_title"), F.array(col("Precursor.Mz").cast("double")).alias("masses"))
+    targets = report.join(nearest_scan(spark, d), "psm_id").select("psm_id", "raw_title", F.col("spec_idx").cast("int").alias("spec_idx"), "masses")
+    found = matched_intensities(targets, read_table(spark, d, "spectrum_df").select("raw_title", "spec_idx", "mz", "intensity"), ["raw_title", "spec_idx"], 10.0)
+    return found.select("psm_id", "spec_idx", F.round(F.col("found")[0], 2).alias("inside"), F.round("total", 2).alias("total"))
+
+
 _PPM_SQL = """WITH l AS (SELECT l_extendedprice AS mz, l_quantity AS q FROM lineitem)
           SELECT o_orderkey AS probe_id, count(mz) AS n, coalesce(sum(q), 0.0) AS intensity, round(avg((mz - o_totalprice) / o_totalprice * 1e6), 5) AS ppm_error
           FROM orders LEFT JOIN l ON l.mz BETWEEN o_totalprice * 0.9999 AND o_totalprice * 1.0001 AND abs((mz - o_totalprice) / o_totalprice * 1e6) <= 10 GROUP BY o_orderkey"""
